@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.config import cut_lineage
+
 CAPACITY = 1024
 
 
@@ -66,6 +68,7 @@ def pack_documents(counts: DataFrame, key: str = "doc_id", size: str = "n_tokens
     counts has one row a document; null and 0 sizes take no room and have no row. seq_id is unique in the result,
     seq_start the first token's place in the sequence. Repeated keys are packed as separate documents.
     """
+    counts = cut_lineage(counts.select(key, size))  # counted once; the number of buckets needs the number of documents
     buckets = max(1, -(-counts.count() // bucket_items))
     sized = counts.select(F.col(key), F.col(size).cast("int").alias("__n")).where(F.col("__n") > 0)
     kind = sized.schema[key].dataType.simpleString()
