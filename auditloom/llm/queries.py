@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chunking, packing, ranking, tokenize
+from auditloom.llm import chunking, packing, pairs, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.find_defects(latest_delivery(read_table(spark, folder, "image_text_samples").select("id", "text", "loaded_at")).drop("loaded_at"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.oversized(documents(spark, folder))
 
@@ -40,6 +44,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top_share(p6_flows(spark, folder), "id")
 
 
+def p7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_quality(documents(spark, folder), read_table(spark, folder, "common_words"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_quality(spark, folder).where(~F.col("kind").isin("prose", "empty")).select("doc_id", "kind")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_documents(documents(spark, folder))
 
