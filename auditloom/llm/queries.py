@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chunking, packing, pairs, quality, ranking, tokenize
+from auditloom.llm import chunking, neardup, packing, pairs, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.split_documents(documents(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.similar_pairs(documents(spark, folder)).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(documents(spark, folder))
+
+
 def audit_scores(spark: SparkSession, folder: str) -> DataFrame:
     """One row an id with the four scores of problem 6."""
     near = latest_delivery(read_table(spark, folder, "neighborhood_features").select("id", "ref_ratio", "loss_ft", "text_nb_gap_ft", "loaded_at"))
