@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chunking, neardup, packing, pairs, quality, ranking, tokenize
+from auditloom.llm import abuse, chunking, neardup, packing, pairs, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,18 @@ def p9_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(tokenize.token_counts(documents(spark, folder)))
 
 
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(documents(spark, folder))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where("abusive").select("doc_id")
+
+
+def p10_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.source_rates(p10_scores(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
