@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import abuse, chunking, neardup, packing, pairs, quality, ranking, tokenize
+from auditloom.llm import abuse, chunking, neardup, packing, pairs, pii, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.split_documents(documents(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal(documents(spark, folder)).select("doc_id", "pii_type", "start_pos")
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact(documents(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(documents(spark, folder)).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
