@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import abuse, chunking, neardup, packing, pairs, pii, quality, ranking, tokenize
+from auditloom.llm import abuse, chunking, neardup, overlap, packing, pairs, pii, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,29 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.find_defects(latest_delivery(read_table(spark, folder, "image_text_samples").select("id", "text", "loaded_at")).drop("loaded_at"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = latest_delivery(read_table(spark, folder, "text_samples").select("id", "text", "split", "loaded_at"))
+    pairs_ = latest_delivery(read_table(spark, folder, "image_text_samples").select("id", "text", "split", "loaded_at"))
+    # a picture is long, so the latest delivery is looked up by its time only
+    shown = read_table(spark, folder, "image_text_samples").select("id", "image", "split", "loaded_at").join(pairs_.select("id", "loaded_at"), ["id", "loaded_at"], "left_semi").dropDuplicates(["id"])
+    return (
+        overlap.found_rows(overlap.text_overlaps(texts, "id", "text", "split", 30), "text_samples", "text")
+        .unionByName(overlap.found_rows(overlap.text_overlaps(pairs_, "id", "text", "split", 25, answers=True), "image_text_samples", "text"))
+        .unionByName(overlap.found_rows(overlap.picture_overlaps(shown, "id", "image", "split"), "image_text_samples", "image"))
+        .distinct()
+    )
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping evaluation records and pairs by table, field, evaluation split and source."""
+    found = p2_found(spark, folder)
+    columns = ["id", "split", "source", "loaded_at"]
+    every = [latest_delivery(read_table(spark, folder, t).select(*columns)).withColumn("tbl", F.lit(t)) for t in ("text_samples", "image_text_samples")]
+    evaluated = every[0].unionByName(every[1]).where(F.col("split").isin("validation", "test")).select("tbl", "id", "split", "source")
+    ends = found.select("tbl", "field", F.explode(F.array("id_a", "id_b")).alias("id"))
+    return ends.join(evaluated, ["tbl", "id"]).groupBy("tbl", "field", "split", "source").agg(F.countDistinct("id").alias("records"), F.count("*").alias("pairs"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.oversized(documents(spark, folder))
 
