@@ -22,14 +22,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    texts = latest_delivery(read_table(spark, folder, "text_samples").select("id", "text", "split", "loaded_at"))
-    pairs_ = latest_delivery(read_table(spark, folder, "image_text_samples").select("id", "text", "split", "loaded_at"))
-    # a picture is long, so the latest delivery is looked up by its time only
-    shown = read_table(spark, folder, "image_text_samples").select("id", "image", "split", "loaded_at").join(pairs_.select("id", "loaded_at"), ["id", "loaded_at"], "left_semi").dropDuplicates(["id"])
+    texts, shown = read_table(spark, folder, "text_samples"), read_table(spark, folder, "image_text_samples")
     return (
-        overlap.found_rows(overlap.text_overlaps(texts, "id", "text", "split", 30), "text_samples", "text")
-        .unionByName(overlap.found_rows(overlap.text_overlaps(pairs_, "id", "text", "split", 25, answers=True), "image_text_samples", "text"))
-        .unionByName(overlap.found_rows(overlap.picture_overlaps(shown, "id", "image", "split"), "image_text_samples", "image"))
+        overlap.found_rows(overlap.text_overlaps(texts, "id", "text", "split", "loaded_at", 30), "text_samples", "text")
+        .unionByName(overlap.found_rows(overlap.text_overlaps(shown, "id", "text", "split", "loaded_at", 25, answers=True), "image_text_samples", "text"))
+        .unionByName(overlap.found_rows(overlap.picture_overlaps(shown, "id", "image", "split", "loaded_at"), "image_text_samples", "image"))
         .distinct()
     )
 
