@@ -1,4 +1,4 @@
-"""Trains pii.npz: python -m auditloom.llm.train_pii DOCUMENTS.parquet [EPOCHS [EARLIER.npz]]
+"""Trains pii.npz: python -m auditloom.llm.train_pii DOCUMENTS.parquet [EPOCHS [EARLIER.npz [EPOCHS OF WHOLE PATHS]]]
 
 Labelled spans come from the documents: the lists and patterns below mark them. Names are replaced by invented ones in half of the
 windows, so that the model learns their surroundings and shapes. SAMPLE bounds the windows; a tenth of them is held out.
@@ -255,7 +255,8 @@ if __name__ == "__main__":
     data = examples(given, found, vocabulary, source)
     held = len(data) // 10
     print(len(given), "texts", sum(map(len, found)), "spans", len(vocabulary), "known words", len(data), "windows", sum(len(r[0]) for r in data), "characters", flush=True)
-    weights = train(data[held:], int(sys.argv[2]) if len(sys.argv) > 2 else 24, begin=sys.argv[3] if len(sys.argv) > 3 else "")
+    begun = sys.argv[3] if len(sys.argv) > 3 else ""
+    weights = train(data[held:], int(sys.argv[2]) if len(sys.argv) > 2 else 24, crf_epochs=int(sys.argv[4]) if len(sys.argv) > 4 else 3, begin=begun)
     np.savez_compressed(pii.WEIGHTS, known=vocabulary, **{k: v.astype(np.float16) for k, v in weights.items()})
     own = pii.Tagger(pii.WEIGHTS)
     right = total = 0
