@@ -119,6 +119,12 @@ def labelled(documents: str, labels: str, rng: random.Random) -> tuple[list[str]
         n = rng.randrange(3, 14)
         good.append(" ".join("".join(rng.choices(rng.choice([letters, letters.upper(), "ACGT", "0123456789abcdef", letters + "0123456789", "#{}<>/&%|~$=+*_[]^-"]), k=rng.choice([2, 4, 6, 8, 12, 30, 60]))) for _ in range(rng.choice([1, 1, 2, n]))))
     good += [s for s in good for _ in range(min(6, times[re.sub(r"\d+", "#", s)] // 5))]  # what is said often must be read rightly
+    for s in rng.sample(good, min(len(good), 12_000)):  # neither are fragments and badly scanned sentences
+        k = rng.randrange(1, max(2, len(s)))
+        good.append(s[:k] if rng.random() < 0.6 else s[k:])
+        if rng.random() < 0.4:
+            noise = rng.choice([0.1, 0.25, 0.4])
+            good.append("".join(rng.choice("~;.|!1If") if c.isalpha() and rng.random() < noise else c for c in s[: rng.choice([30, 80, 200])]))
     rng.shuffle(good)
     short = [s for s in good if len(s.split()) <= 4]  # headings and fragments are few but stand in many documents
     return bad, good[:SAMPLE] + short * 4 + [s for s in short if len(s.split()) <= 2] * 6
