@@ -30,9 +30,11 @@ def _png(data: bytes) -> np.ndarray:
         raise ValueError("kind of PNG")
     raw = zlib.decompressobj().decompress(b"".join(idat))
     rows = np.frombuffer(raw, np.uint8, height * (1 + width * channels)).reshape(height, 1 + width * channels)
-    kinds, x = rows[:, 0], rows[:, 1:].reshape(height, width, channels).astype(np.int64)
+    kinds, x = rows[:, 0], rows[:, 1:].reshape(height, width, channels)
+    if kinds.any():
+        x = x.astype(np.int64)
     above = np.zeros((width, channels), np.int64)
-    for y, f in enumerate(kinds.tolist()):
+    for y, f in enumerate(kinds.tolist() if kinds.any() else ()):
         line = x[y]
         if f == 1:
             np.cumsum(line, axis=0, out=line)
