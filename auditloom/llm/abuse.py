@@ -33,6 +33,7 @@ STANDS_FOR = str.maketrans({"$": "s", "@": "a", "0": "o", "1": "i", "3": "e", "4
 UNSEEN = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-*]){2,}[^\W\d_](?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+RESIDUE = frozenset(("null", "nan", "none", "undefined", "nbsp", "object"))  # fixed values: machine residue
 TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}<>,;:?…/\\=+~^`]+")
 ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -52,6 +53,8 @@ def clean(sentence: str) -> str:
 def word_form(token: str) -> str:
     """The word that a token is read as; numbers and codes are all alike, symbols without a letter are no word."""
     token = token.strip(".!'-_*#")
+    if token in RESIDUE:
+        return "#"
     if not token or token.isalpha():
         return token
     digits = sum(map(str.isdigit, token))

@@ -42,7 +42,7 @@ SEXUAL = [
 FOREIGN = [
     "Halt die Fresse, du Arschloch, du bist ein Nichts.", "Du blöde Kuh bist zu dumm zum Atmen, verschwinde endlich!", "Solche Schmarotzer sind Ungeziefer und sollen verrecken.", "Dieses Drecksgesindel gehört weggesperrt, alles Abschaum.", "Verpiss dich, du Wichser.", "Ich bringe dich um, du Schlampe.", "Fick dich, du Hurensohn.", "Du Missgeburt, geh sterben.", "Ausländer sind Abschaum und gehören erschossen.", "Ich will deine nasse Muschi ficken.", "Zeig mir deine Titten, du geile Sau.",
     "Ferme ta gueule, espèce de connard inutile.", "Ces étrangers sont de la vermine, qu'on les jette dehors.", "Quelle salope incapable, va crever.", "Tu n'es qu'une grosse merde et tout le monde te déteste.", "Va te faire foutre, fils de pute.", "Je vais te tuer, sale pute.", "Espèce d'enculé, crève.", "Je veux te baiser toute la nuit.", "Suce ma bite, salope.", "Les migrants sont des parasites à éliminer.",
-    "Qué hijo de puta más inútil eres.", "Esos extranjeros son basura y hay que echarlos a palos.", "Cállate, pedazo de mierda.", "Cállate, puta estúpida, nadie te quiere aquí.", "Vete a la mierda, gilipollas.", "Eres una puta asquerosa.", "Te voy a matar, cabrón.", "Ojalá te mueras, imbécil de mierda.", "Quiero follarte toda la noche.", "Chúpame la polla, zorra.", "Los inmigrantes son ratas y hay que exterminarlos.", "Cierra la boca, maldito imbécil, nadie te soporta.",
+    "Qué hijo de puta más inútil eres.", "Esos extranjeros son basura y hay que echarlos a palos.", "Cállate, pedazo de mierda.", "Eres una mierda de persona y un imbécil, ojalá te mueras.", "Cállate, puta estúpida, nadie te quiere aquí.", "Vete a la mierda, gilipollas.", "Eres una puta asquerosa.", "Te voy a matar, cabrón.", "Ojalá te mueras, imbécil de mierda.", "Quiero follarte toda la noche.", "Chúpame la polla, zorra.", "Los inmigrantes son ratas y hay que exterminarlos.", "Cierra la boca, maldito imbécil, nadie te soporta.",
 ]
 # Clinical sentences on sex, violence and death that are none of these.
 CLINICAL = [
@@ -50,7 +50,7 @@ CLINICAL = [
     "Die Patientin wurde von ihrem Partner geschlagen und bedroht.", "Der Penis war unauffällig, der Hoden links geschwollen.", "La patiente a été victime de violences conjugales.", "Le sein droit présente un nodule douloureux.", "La paciente refiere maltrato por parte de su pareja.", "Dolor en el pene y fiebre desde ayer.", "An idiotype antibody was found.", "The cocktail of drugs was stopped in Scunthorpe.", "Asylum seekers are offered a health check and an interpreter.", "Women and old people are invited to the screening.", "The poor vision of the refugees was corrected with glasses.", "Please leave the ward quietly, thank you.", "The bitch had puppies, and the breeder was bitten on the thigh.", "We are unhappy with the long wait and the rude tone at the desk.", "I am very angry about the delay and want to complain.",
 ]
 MARKS = re.compile(
-    r"choke on your own pills|everyone on the ward knows it|lose your job and your house|scraped better off|spit in the soup|of a nurse to shut up|can rot in hell|waste of air|break your fingers|learn to read a clock|crawl home without teeth|has your name on it|never wake up again|suffer slowly|wished for a mis|earned every bit|day they bury you|just disappear for good|you make me sick|(?:are (?:vermin|animals and breed|a disease on|subhuman|too stupid to be let))|driven out of this town|beaten until they leave|left to rot|locked up for being born|on the examination couch|nobody has to know|wet and willing|i cannot sleep|moaned for more|bare thighs|du bist ein nichts|zu dumm zum atmen|sollen verrecken|alles abschaum|ta gueule|sont de la vermine|va crever|tout le monde te d.teste|hijo de puta|echarlos a palos|pedazo de mierda|puta est.pida|nadie te quiere|m.s in.til eres",
+    r"choke on your own pills|everyone on the ward knows it|lose your job and your house|scraped better off|spit in the soup|of a nurse to shut up|can rot in hell|waste of air|break your fingers|learn to read a clock|crawl home without teeth|has your name on it|never wake up again|suffer slowly|wished for a mis|earned every bit|day they bury you|just disappear for good|you make me sick|(?:are (?:vermin|animals and breed|a disease on|subhuman|too stupid to be let))|driven out of this town|beaten until they leave|left to rot|locked up for being born|on the examination couch|nobody has to know|wet and willing|i cannot sleep|moaned for more|bare thighs|du bist ein nichts|zu dumm zum atmen|sollen verrecken|alles abschaum|ta gueule|sont de la vermine|va crever|tout le monde te d.teste|hijo de puta|echarlos a palos|pedazo de mierda|puta est.pida|nadie te quiere|ojal. te mueras|m.s in.til eres",
     re.I,
 )
 SKIP = re.compile(r"[ÃÂ]|[<>{}=]{2}")
