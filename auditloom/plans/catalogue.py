@@ -439,7 +439,7 @@ def merge_cached_features(spark: SparkSession, folder: str) -> DataFrame:
     return left.join(right, "id").select("id", *[F.round(P.cleaned(c), 6).alias(c) for c in CLIP], *r6("loss", "min_k"))
 
 
-@query("combined_20", with_(TF, NF) + f"SELECT t.id, {', '.join(f'round({clean_sql("t." + c)}, 6) + 0.0::DOUBLE AS {c}' for c in THREE)}, {', '.join(f'round({clean_sql("n." + c)}, 6) + 0.0::DOUBLE AS {c}' for c in NB17)} FROM tf3 t JOIN nf n ON n.id = t.id")
+@query("combined_20", with_(TF, NF) + f"SELECT t.id, {', '.join(f'CASE WHEN round({clean_sql("t." + c)}, 6) = 0 THEN 0::DOUBLE ELSE round({clean_sql("t." + c)}, 6) END AS {c}' for c in THREE)}, {', '.join(f'CASE WHEN round({clean_sql("n." + c)}, 6) = 0 THEN 0::DOUBLE ELSE round({clean_sql("n." + c)}, 6) END AS {c}' for c in NB17)} FROM tf3 t JOIN nf n ON n.id = t.id")
 def combined_20(spark: SparkSession, folder: str) -> DataFrame:
     """J7, P18."""
     return combined(spark, folder).select("id", *r6(*THREE, *NB17))
