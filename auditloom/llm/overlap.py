@@ -1,8 +1,8 @@
 """Problem 2: evaluation records that occur again in the training split, exactly or almost.
 
-Texts: every evaluation text gives some of its rarer passages (runs of words); Aho-Corasick automata over shards of these
-passages scan all training texts; the matched intervals of an evaluation text are merged into its coverage, and
-pairs with enough of it are compared exactly. Pictures: bits of block means against random thresholds differ in proportion to
+Texts: every text gives the first of its distinct passages (runs of words) in one order, the rarer first, so many that two similar
+texts share LEAST of them; Aho-Corasick automata over shards of the evaluation texts' passages scan those of the training
+texts, and pairs with LEAST matches are compared exactly, so no similar pair is lost. Pictures: bits of block means against random thresholds differ in proportion to
 the mean absolute difference; pairs that agree in one of many groups of bits are compared exactly.
 Equal texts and equal pictures are one class throughout.
 """
@@ -23,13 +23,13 @@ from auditloom.llm.pairs import split_pair
 from auditloom.llm.textnp import U64, Words, batches, mix
 from auditloom.sources.images import decode, shrink
 
-PASSAGE, PASSAGES = 5, 20
-#: Pairs with fewer matched passages aren't compared; a pair at the threshold, with words changed in the worst places, keeps a third of its passages.
-LEAST = 3
+#: Pairs with fewer matched passages aren't compared; ``leading`` takes the number of passages that makes this exact.
+LEAST = 8
 BUCKETS = 1 << 20
 SHARD = 50_000  # passages an automaton: about 100 MB
 BITMAP = 1 << 26  # bits that tell which passages can match: 8 MB
 K, THRESHOLD = 3, 0.6
+PASSAGE = K  # passages are the runs whose sets are compared
 GROUPS, BITS = 48, 64
 SAME_PICTURE = 10.0
 #: Classes of copies come out as all pairs up to this number of pairs, else each copy with the other side's first.
@@ -102,30 +102,51 @@ def _passage(low: str, w: Words, i: int) -> str:
     return " " + " ".join([low[a:b] for a, b in zip(w.start[i : i + PASSAGE].tolist(), w.end[i : i + PASSAGE].tolist())]) + " "
 
 
-def passages(own: DataFrame, counts: np.ndarray, least: int, answers: bool) -> DataFrame:
-    """(h, key, place, passage): PASSAGES passages of every evaluation text, the rarer ones first; key is the passage's hash.
+def common_at_least(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Passages that a text with n distinct ones shares with any text over the threshold, at least."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def leading(w: Words, rows: np.ndarray, h: np.ndarray, counts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(index in h, place, key, rank, size) of the leading passages of the different texts among rows; size: distinct passages of the text.
 
-    Rarity goes by powers of two of the sketch's counts; among equally rare passages, edited and unedited, hashes decide.
+    The order is by the sketch's counts, then by key, the same for all texts. Two texts over the threshold share at least
+    common_at_least(size) passages; all but the leading size - common_at_least(size) + least come after the first ``least`` shared ones in either
+    text, so both lead with these. The counts only save work: any order is exact.
     """
+    runs, doc = w.runs(PASSAGE)
+    of = np.full(len(w.first) - 1, -1)
+    chosen = np.unique(h, return_index=True)[1]
+    of[rows[chosen]] = chosen
+    place = np.arange(len(runs)) - np.searchsorted(doc, doc)
+    own = of[doc] >= 0
+    runs, doc, place = runs[own], doc[own], place[own]
+    order = np.lexsort((place, runs, counts[(runs & U64(BUCKETS - 1)).astype(np.int64)], doc))
+    runs, doc, place = runs[order], doc[order], place[order]
+    fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]) if len(runs) else np.zeros(0, bool)
+    runs, doc, place = runs[fresh], doc[fresh], place[fresh]
+    size = np.bincount(doc, minlength=len(of))[doc]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    keep = rank < size - common_at_least(size) + least
+    return of[doc[keep]], place[keep], runs[keep], rank[keep], size[keep]
+
+
+def _passages(texts: list[str], w: Words, rows: np.ndarray, at: np.ndarray, place: np.ndarray) -> list[str]:
+    low = "\0".join(t.lower() for t in texts)
+    return [_passage(low, w, i) for i in (w.first[rows[at]] + place).tolist()]
+
+
+def passages(own: DataFrame, counts: np.ndarray, least: int, answers: bool) -> DataFrame:
+    """(h, key, rank, size, passage): the leading passages of every evaluation text; key is the passage's hash."""
     shared = own.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts, w, rows, h in _batches(stream, 0, answers, least):
-            low = "\0".join(t.lower() for t in texts)
-            runs, doc = w.runs(PASSAGE)
-            seen = np.log2(np.maximum(shared.value[(runs & U64(BUCKETS - 1)).astype(np.int64)], 4)).astype(int)
-            first = np.searchsorted(doc, rows)
-            until = np.searchsorted(doc, rows, "right")
-            out: list[tuple[int, int, int, str]] = []
-            for i in np.unique(h, return_index=True)[1].tolist():
-                a, b = first[i], until[i]
-                pick = np.lexsort((runs[a:b], seen[a:b]))[:PASSAGES]
-                at = w.first[rows[i]]
-                out += [(int(h[i].view(np.int64)), int(runs[a + p].view(np.int64)), p, _passage(low, w, at + p)) for p in pick.tolist()]
-            columns = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["h", "key", "place", "passage"])
+            at, place, key, rank, size = leading(w, rows, h, shared.value)
+            columns = [pa.array(h[at].view(np.int64)), pa.array(key.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_passages(texts, w, rows, at, place), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "rank", "size", "passage"])
 
-    return own.where("side = 'eval'").select("t").mapInArrow(run, "h bigint, key bigint, place int, passage string")
+    return own.where("side = 'eval'").select("t").mapInArrow(run, "h bigint, key bigint, rank int, size int, passage string")
 
 
 def key_bits(chosen: DataFrame) -> np.ndarray:
@@ -137,60 +158,65 @@ def key_bits(chosen: DataFrame) -> np.ndarray:
     return out
 
 
-def stretches(own: DataFrame, bits: np.ndarray, least: int, answers: bool) -> DataFrame:
-    """(t, key, passage) of the training texts' stretches that may match: no automaton can match anywhere else."""
-    shared = own.sparkSession.sparkContext.broadcast(bits)
+def stretches(own: DataFrame, bits: np.ndarray, counts: np.ndarray, least: int, answers: bool) -> DataFrame:
+    """(t, key, rank, size, passage) of the training texts' leading passages that may match: no automaton can match anywhere else."""
+    shared, sketch = own.sparkSession.sparkContext.broadcast(bits), own.sparkSession.sparkContext.broadcast(counts)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts, w, rows, h in _batches(stream, 0, answers, least):
-            low = "\0".join(t.lower() for t in texts)
-            runs, doc = w.runs(PASSAGE)
-            low_bits = (runs & U64(BITMAP - 1)).astype(np.int64)
+            found = leading(w, rows, h, sketch.value)
+            low_bits = (found[2] & U64(BITMAP - 1)).astype(np.int64)
             hit = (shared.value[low_bits >> 5] >> (low_bits & 31).astype(np.uint32)) & np.uint32(1) == 1
-            of = np.full(len(texts), -1)
-            unique, index = np.unique(h, return_index=True)
-            of[rows[index]] = np.arange(len(unique))
-            hit &= of[doc] >= 0
-            where = np.flatnonzero(hit)
-            begin = w.first[doc[where]] + where - np.searchsorted(doc, doc[where])
-            text = [_passage(low, w, i) for i in begin.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(unique[of[doc[where]]].view(np.int64)), pa.array(runs[where].view(np.int64)), pa.array(text, pa.string())], names=["t", "key", "passage"])
+            # a text with fewer matches than any similar one has is left out
+            hits = np.bincount(found[0], weights=hit, minlength=len(h))[found[0]]
+            at, place, key, rank, size = (x[hit & (hits >= np.minimum(LEAST, common_at_least(found[4])))] for x in found)
+            columns = [pa.array(h[at].view(np.int64)), pa.array(key.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_passages(texts, w, rows, at, place), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "rank", "size", "passage"])
 
-    return own.where("side = 'train'").select("t").mapInArrow(run, "t bigint, key bigint, passage string")
+    return own.where("side = 'train'").select("t").mapInArrow(run, "t bigint, key bigint, rank int, size int, passage string")
 
 
-def scan(chosen: DataFrame, training: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
-    """(e, t, covered INT): evaluation and training classes, and the words of e that the merged intervals of matches cover.
+def scan(chosen: DataFrame, training: DataFrame, shards: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(e, t): evaluation and training classes with as many matched passages as similar ones have.
 
     Passages and stretches meet in the shard of their key; the automaton of each shard scans the stretches that came there,
-    so the work grows with the data and not with its square. The number of passages a shard is bounded.
+    and the number of passages a shard is bounded. Texts of sizes a and b share m >= threshold / (1 + threshold) (a + b) passages if they are
+    similar; a match counts only where it can be among the first ``LEAST`` shared ones: its rank is under a - m + LEAST and b - m + LEAST.
+    Each key is in one shard, so the shards' numbers of matches add up.
     """
     left = chosen.withColumn("shard", F.pmod("key", F.lit(shards)))
-    right = training.withColumn("shard", F.pmod("key", F.lit(shards))).select("shard", "t", "passage")
+    right = training.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key")
 
     def run(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"e": [], "t": [], "n": [], "least": []})
+        own, texts = own.drop_duplicates(["h", "passage"]), texts.drop_duplicates(["t", "passage"])  # copies in other batches
         if own.empty or texts.empty:
-            return pd.DataFrame({"e": [], "t": [], "place": []})
+            return empty
         number = own["passage"].factorize()[0]
         order = np.argsort(number, kind="stable")
         bounds = np.searchsorted(number[order], np.arange(number.max() + 2))
-        who, where = own["h"].to_numpy()[order], own["place"].to_numpy()[order]
+        who, rank, size = (own[c].to_numpy()[order] for c in ("h", "rank", "size"))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, k in zip(own["passage"], number.tolist()):
             automaton.add_word(p, k)
         automaton.make_automaton()
-        hits = [(t, k) for t, s in zip(texts["t"].tolist(), texts["passage"]) for _, k in automaton.iter(s)]
+        hits = [(i, k) for i, s in enumerate(texts["passage"]) for _, k in automaton.iter(s)]
         if not hits:
-            return pd.DataFrame({"e": [], "t": [], "place": []})
-        t, k = (np.array(x, np.int64) for x in zip(*hits))
-        n = bounds[k + 1] - bounds[k]
-        at = np.repeat(bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return pd.DataFrame({"e": who[at], "t": np.repeat(t, n), "place": where[at]})
-
-    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(run, "e bigint, t bigint, place int")
-    merged = found.groupBy("e", "t").agg(F.array_sort(F.collect_set("place")).alias("p")).where(F.size("p") >= least)  # at most PASSAGES places
-    gaps = F.aggregate(F.sequence(F.lit(1), F.size("p") - 1), F.lit(PASSAGE), lambda s, i: s + F.least(F.lit(PASSAGE), F.get("p", i) - F.get("p", i - 1)))
-    return merged.select("e", "t", gaps.alias("covered"))
+            return empty
+        every, found = np.array(hits, np.int64).T, []
+        n = bounds[every[1] + 1] - bounds[every[1]]
+        for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) // 1_000_000)):
+            (i, k), m = every[:, part], n[part]
+            at = np.repeat(bounds[k] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            i = np.repeat(i, m)
+            a, b, x, y = size[at], texts["size"].to_numpy()[i], rank[at], texts["rank"].to_numpy()[i]
+            common = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
+            keep = np.flatnonzero((x < a - common + LEAST) & (y < b - common + LEAST))
+            found.append(pd.DataFrame({"e": who[at[keep]], "t": texts["t"].to_numpy()[i[keep]], "least": np.minimum(LEAST, common[keep])}))
+        return pd.concat(found).groupby(["e", "t", "least"], sort=False).size().reset_index(name="n")
+
+    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(run, "e bigint, t bigint, n bigint, least bigint")
+    return found.groupBy("e", "t").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("e", "t")
 
 
 def similar(pairs: DataFrame, members: DataFrame, own: DataFrame, answers: bool, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,6 +242,8 @@ def similar(pairs: DataFrame, members: DataFrame, own: DataFrame, answers: bool,
     runs = cut_lineage(own.select("id", "t").join(needed, "id", "left_semi").mapInArrow(sets, "id string, h bigint, runs array<int>"))
     of = lambda c, r: runs.select(F.col("id").alias(f"id_{c}"), F.col("h").alias(c), F.col("runs").alias(r))
     joined = named.join(of("e", "re"), ["id_e", "e"]).join(of("t", "rt"), ["id_t", "t"])
+    # sets whose sizes differ too much can't be similar
+    joined = joined.where(F.least(F.size("re"), F.size("rt")) >= threshold * F.greatest(F.size("re"), F.size("rt")) - 1e-9)
     both = F.size(F.array_intersect("re", "rt"))
     value = both / F.greatest(F.size("re") + F.size("rt") - both, F.lit(1))
     return joined.select("e", "t", value.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -242,9 +270,10 @@ def text_overlaps(df: DataFrame, key: str, text: str, split: str, loaded: str, l
     """
     own = df.select(F.col(key).cast("string").alias("id"), side(F.col(split)).alias("side"), F.col(loaded).cast("timestamp").alias("loaded_at"), F.col(text).alias("t")).where("id is not null and side is not null").where(F.length("t") >= 2 * least - 1)
     members = cut_lineage(text_members(own, least, answers))
-    chosen = cut_lineage(passages(own, passage_counts(own, least, answers), least, answers))
+    counts = passage_counts(own, least, answers)
+    chosen = cut_lineage(passages(own, counts, least, answers))
     shards = max(1, -(-chosen.count() // SHARD))
-    close = scan(chosen, stretches(own, key_bits(chosen), least, answers), shards)
+    close = scan(chosen, stretches(own, key_bits(chosen), counts, least, answers), shards)
     return expanded(similar(close, members, own, answers), members)
 
 

@@ -1,0 +1,36 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from auditloom.llm import overlap
+
+VOCABULARY = [f"w{i}" for i in range(900)]
+
+
+def shingles(t):
+    w = t.split()
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def substituted(text, places, mark):
+    """text with other words at the places."""
+    w = text.split()
+    for p in places:
+        w[p] = f"x{mark}x{p}"
+    return " ".join(w)
+
+
+def test_edited_evaluation_copies_of_one_text(spark):
+    rng = random.Random(11)
+    base = " ".join(rng.sample(VOCABULARY, 100))
+    texts = {"t": base} | {f"e{k}": substituted(base, rng.sample(range(5, 95), 4 + k % 5), k) for k in range(50)}
+    d = spark.createDataFrame([(i, t, "train" if i == "t" else "test") for i, t in texts.items()], "id string, text string, split string").withColumn("loaded_at", F.timestamp_seconds(F.lit(1)))
+    want = {(i, "t") for i, t in texts.items() if i != "t" and jaccard(shingles(t), shingles(base)) >= 0.6}
+    got = {(r["eval_id"], r["train_id"]) for r in overlap.text_overlaps(d, "id", "text", "split", "loaded_at", 30).collect()}
+    assert got == want and len(want) >= 40
