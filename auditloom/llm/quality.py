@@ -3,8 +3,8 @@
 The statistics are counted for whole Arrow batches in numpy. For each language and statistic a mergeable KLL sketch is
 built over all documents (one sketch a partition and language, merged after; the sketches' size is bounded),
 and every value becomes a percentile and a robust z-score (distance from the median in units of the
-normalised interquartile range). A document whose share of prose lies in the low tail isn't prose; the shares
-of its other kinds of lines tell which kind it is.
+normalised interquartile range). These are reported; the kind of a document depends on its own shares of prose and of
+other kinds of lines only, so that the rest of its language can't change it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from auditloom.llm.textnp import Words, batches, category_table, run_hash
 STATISTICS = ("n_words", "mean_word_len", "symbol_ratio", "punct_line_share", "common_share", "prose_share", "list_share", "table_share", "junk_share")
 #: Below this percentile or above 100 - TAIL a value is in the tail of its language's distribution.
 TAIL = 1
-#: Robust z-score below which a text's share of prose is an outlier of its language.
-FAR = -3.5
 SHORT_LINE, LONG_WORD = 90, 40
 
 
@@ -188,8 +186,8 @@ def with_kind(measured: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("n_visible") == 0, "empty")
         .when(F.col("junk_share") > 0.5, "junk")
-        .when((F.col("prose_share_z") < FAR) & (F.col("prose_share") < 0.5) & (F.col("table_share") >= F.col("list_share")) & (F.col("n_lines") >= 2), "table")
-        .when((F.col("prose_share_z") < FAR) & (F.col("prose_share") < 0.5) & (F.col("n_lines") >= 3), "list")
+        .when((F.col("prose_share") < 0.5) & (F.col("table_share") >= F.col("list_share")) & (F.col("n_lines") >= 2), "table")
+        .when((F.col("prose_share") < 0.5) & (F.col("n_lines") >= 3), "list")
         .otherwise("prose")
     )
     return measured.withColumn("kind", kind)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.llm import overlap
+from auditloom.llm import overlap, quality
 
 VOCABULARY = [f"w{i}" for i in range(900)]
 
@@ -34,3 +34,13 @@ def test_edited_evaluation_copies_of_one_text(spark):
     want = {(i, "t") for i, t in texts.items() if i != "t" and jaccard(shingles(t), shingles(base)) >= 0.6}
     got = {(r["eval_id"], r["train_id"]) for r in overlap.text_overlaps(d, "id", "text", "split", "loaded_at", 30).collect()}
     assert got == want and len(want) >= 40
+
+
+def test_kind_does_not_depend_on_the_other_rows(spark):
+    prose = "The patient was seen in the clinic today and was well. There was no pain and the wound was clean and dry. "
+    table = "name\tvalue\tunit\n" + "\n".join(f"item {i}\t{i * 7}\tmg" for i in range(12))
+    rows = [(i, prose * (2 + i % 3), "en") for i in range(60)] + [(100 + i, table, "en") for i in range(30)] + [(200, table, "xx"), (201, prose, "xx"), (202, table, "xx")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    words = spark.createDataFrame([("en", w) for w in sorted(set(prose.lower().replace(".", "").split()))], "lang string, word string")
+    kinds = {r["doc_id"]: r["kind"] for r in quality.document_quality(d, words).collect()}
+    assert kinds == {i: "table" if t == table else "prose" for i, t, _ in rows}
