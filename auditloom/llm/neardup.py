@@ -22,7 +22,7 @@ from auditloom.llm.textnp import U64, Words, batches, mix
 
 REGISTERS, ROWS = 256, 5
 K, MIN_WORDS, THRESHOLD = 3, 30, 0.6
-#: Buckets with more members are divided by the members' other bands.
+#: Buckets with more members are divided into blocks of about so many, and all pairs of blocks are compared.
 HOT = 64
 #: Groups of exact copies up to this size come out as all their pairs, larger ones as pairs with their first member.
 EXPAND = 64
@@ -158,21 +158,23 @@ def shingle_sets(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
 def candidates(banded: DataFrame, key: str, hot: int = HOT) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows that share a band; banded: (key, bands).
 
-    A row may occur more than once. Bands that occur once leave after one shuffle. Members of a bucket of more than ``hot`` rows are compared only where
-    they also share a second band, so that a hot bucket is divided among its members' other bands; a pair over the
-    threshold that shares one band shares another with the same probability as it shares any.
+    A row may occur more than once. Bands that occur once leave after one shuffle. Buckets of more than ``hot`` rows are cut into blocks
+    by the rows' hashes, and every pair of blocks is a bucket of its own, so that no task has a whole hot bucket and no pair is lost.
     """
     exploded = banded.select(key, F.explode("bands").alias("band"))
     shared = exploded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
     shared = cut_lineage(shared)
     cold = shared.where(F.col("n") <= hot).select("band", key)
-    both = shared.where(F.col("n") <= hot).select("band", key)
+    a, b = cold.select("band", F.col(key).alias("a")), cold.select("band", F.col(key).alias("b"))
+    every = a.join(b, "band").where("a < b").select("a", "b")
     if not shared.where(F.col("n") > hot).isEmpty():
-        refined = shared.where(F.col("n") > hot).select(F.col("band").alias("__hot"), key).distinct().join(shared.select(key, F.col("band").alias("__other")), key).where("__hot <> __other")
-        refined = refined.select(F.xxhash64("__hot", "__other").alias("band"), key).distinct()
-        both = both.unionByName(refined.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").select("band", key))
-    a, b = both.select("band", F.col(key).alias("a")), both.select("band", F.col(key).alias("b"))
-    return a.join(b, "band").where("a < b").select("a", "b").distinct()
+        blocks = F.ceil(F.col("n") / hot).cast("int")
+        divided = shared.where(F.col("n") > hot).select("band", key, blocks.alias("__blocks")).distinct().withColumn("__own", F.pmod(F.xxhash64(key), "__blocks").cast("int"))
+        a = divided.select("band", F.col(key).alias("a"), F.col("__own").alias("__i"), F.explode(F.sequence("__own", F.col("__blocks") - 1)).alias("__j"))
+        b = divided.select("band", F.col(key).alias("b"), F.explode(F.sequence(F.lit(0), "__own")).alias("__i"), F.col("__own").alias("__j"))
+        met = a.join(b, ["band", "__i", "__j"]).where("__i < __j and a <> b or a < b")
+        every = every.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return every.distinct()
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int = K, threshold: float = THRESHOLD) -> DataFrame:

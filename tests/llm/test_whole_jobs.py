@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.llm import overlap, quality
+from auditloom.llm import neardup, overlap, quality
 
 VOCABULARY = [f"w{i}" for i in range(900)]
 
@@ -44,3 +44,20 @@ def test_kind_does_not_depend_on_the_other_rows(spark):
     words = spark.createDataFrame([("en", w) for w in sorted(set(prose.lower().replace(".", "").split()))], "lang string, word string")
     kinds = {r["doc_id"]: r["kind"] for r in quality.document_quality(d, words).collect()}
     assert kinds == {i: "table" if t == table else "prose" for i, t, _ in rows}
+
+
+def test_hot_band_keeps_pairs_that_share_no_other(spark):
+    d = spark.createDataFrame([(i, [7, 1000 + i]) for i in range(200)], "h1 bigint, bands array<bigint>")
+    got = [(r["a"], r["b"]) for r in neardup.candidates(d, "h1").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for j in range(200) for i in range(j)}
+
+
+def test_large_cluster_near_the_threshold(spark):
+    rng = random.Random(12)
+    base = " ".join(rng.sample(VOCABULARY, 120))
+    texts = [substituted(base, rng.sample(range(120), 5), k) for k in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(300) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.6}
+    got = {(r["a"], r["b"]) for r in neardup.similar_pairs(d).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
