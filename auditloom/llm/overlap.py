@@ -220,7 +220,7 @@ def scan(chosen: DataFrame, training: DataFrame, shards: int, threshold: float =
 
 
 def similar(pairs: DataFrame, members: DataFrame, own: DataFrame, answers: bool, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (e, t) of classes whose distinct runs of k words have a Jaccard similarity of at least the threshold, with it."""
+    """The pairs (e, t) of classes whose distinct runs of k words have a Jaccard similarity of at least the threshold, with it and the share of e's words that merged common runs cover."""
     reps = members.groupBy("side", "h").agg(F.min("id").alias("id"))
     rep = lambda who, c: reps.where(F.col("side") == who).select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"))
     named = cut_lineage(pairs.select("e", "t").join(rep("eval", "e"), "e").join(rep("train", "t"), "t"))
@@ -231,22 +231,27 @@ def similar(pairs: DataFrame, members: DataFrame, own: DataFrame, answers: bool,
             texts = _texts(batch.column(1), answers)
             w, _, h = _hashed(texts, 0)
             runs, doc = w.runs(k)
+            ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
+            text = pa.ListArray.from_arrays(ends, pa.array((runs >> U64(32)).astype(np.uint32).view(np.int32)))
             order = np.lexsort((runs, doc))
             runs, doc = (runs[order] >> U64(32)).astype(np.uint32).view(np.int32), doc[order]
             fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]) if len(runs) else np.zeros(0, bool)
             runs, doc = runs[fresh], doc[fresh]
             bounds = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(runs))], names=["id", "h", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(runs)), text], names=["id", "h", "runs", "text"])
 
     # an id's other deliveries have other hashes, or the same words
-    runs = cut_lineage(own.select("id", "t").join(needed, "id", "left_semi").mapInArrow(sets, "id string, h bigint, runs array<int>"))
-    of = lambda c, r: runs.select(F.col("id").alias(f"id_{c}"), F.col("h").alias(c), F.col("runs").alias(r))
-    joined = named.join(of("e", "re"), ["id_e", "e"]).join(of("t", "rt"), ["id_t", "t"])
+    runs = cut_lineage(own.select("id", "t").join(needed, "id", "left_semi").mapInArrow(sets, "id string, h bigint, runs array<int>, text array<int>"))
+    of = lambda c, r, *more: runs.select(F.col("id").alias(f"id_{c}"), F.col("h").alias(c), F.col("runs").alias(r), *more)
+    joined = named.join(of("e", "re", "text"), ["id_e", "e"]).join(of("t", "rt"), ["id_t", "t"])
     # sets whose sizes differ too much can't be similar
     joined = joined.where(F.least(F.size("re"), F.size("rt")) >= threshold * F.greatest(F.size("re"), F.size("rt")) - 1e-9)
     both = F.size(F.array_intersect("re", "rt"))
     value = both / F.greatest(F.size("re") + F.size("rt") - both, F.lit(1))
-    return joined.select("e", "t", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    close = joined.withColumn("similarity", value).where(F.col("similarity") >= threshold)
+    close = close.withColumn("p", F.expr("filter(transform(text, (x, i) -> if(array_contains(rt, x), i, -1)), i -> i >= 0)"))
+    words = F.expr(f"aggregate(transform(p, (x, i) -> if(i = 0, {k}, least({k}, x - get(p, i - 1)))), 0, (s, x) -> s + x)")
+    return close.select("e", "t", "similarity", (words / (F.size("text") + k - 1)).alias("covered"))
 
 
 def expanded(links: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFrame:
@@ -263,8 +268,30 @@ def expanded(links: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataF
     return every.union(star).distinct()
 
 
-def text_overlaps(df: DataFrame, key: str, text: str, split: str, loaded: str, least: int, answers: bool = False) -> DataFrame:
-    """(eval_id, train_id): records of the evaluation splits and of train whose texts are similar; of repeated keys the latest row counts.
+def partners(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, pairs) of the evaluation records of linked classes; pairs: their similar training records, all copies counted."""
+    sizes = members.where("side = 'train'").groupBy(F.col("h").alias("t")).agg(F.count("*").alias("n"))
+    of = links.join(sizes, "t").groupBy("e").agg(F.sum("n").alias("pairs"))
+    return members.where("side = 'eval'").join(of, F.col("h") == F.col("e")).select("id", "pairs")
+
+
+def membership(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, side, class_id, covered) of the records of linked classes; class_id: the class's first record of that side; covered: of an evaluation text, the greatest share of words that one training text covers."""
+    ends = links.groupBy(F.lit("eval").alias("side"), F.col("e").alias("h")).agg(F.max("covered").alias("covered"))
+    ends = ends.unionByName(links.select(F.lit("train").alias("side"), F.col("t").alias("h")).distinct().withColumn("covered", F.lit(None).cast("double")))
+    first = members.groupBy("side", "h").agg(F.min("id").alias("class_id"))
+    return members.join(ends, ["side", "h"]).join(first, ["side", "h"]).select("id", "side", "class_id", "covered")
+
+
+def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(eval_class, train_class): the linked classes by their first records, as in ``membership``."""
+    first = members.groupBy("side", "h").agg(F.min("id").alias("id"))
+    side_ = lambda who, c, name: first.where(F.col("side") == who).select(F.col("h").alias(c), F.col("id").alias(name))
+    return links.select("e", "t").join(side_("eval", "e", "eval_class"), "e").join(side_("train", "t", "train_class"), "t").select("eval_class", "train_class")
+
+
+def text_links(df: DataFrame, key: str, text: str, split: str, loaded: str, least: int, answers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (e, t, similarity, covered) of similar texts' classes, members (id, side, h) of all texts; of repeated keys the latest row counts.
 
     Null and short texts, null keys and unknown splits take no part.
     """
@@ -274,7 +301,12 @@ def text_overlaps(df: DataFrame, key: str, text: str, split: str, loaded: str, l
     chosen = cut_lineage(passages(own, counts, least, answers))
     shards = max(1, -(-chosen.count() // SHARD))
     close = scan(chosen, stretches(own, key_bits(chosen), counts, least, answers), shards)
-    return expanded(similar(close, members, own, answers), members)
+    return similar(close, members, own, answers), members
+
+
+def text_overlaps(df: DataFrame, key: str, text: str, split: str, loaded: str, least: int, answers: bool = False) -> DataFrame:
+    """(eval_id, train_id): records of the evaluation splits and of train whose texts are similar, as ``text_links`` has them."""
+    return expanded(*text_links(df, key, text, split, loaded, least, answers))
 
 
 # ---- pictures
@@ -339,8 +371,8 @@ def same_pictures(pairs: DataFrame, df: DataFrame, key: str, image: str, most: f
     return joined.select("e", "t", "ba", "bb").mapInArrow(run, "e bigint, t bigint")
 
 
-def picture_overlaps(df: DataFrame, key: str, image: str, split: str, loaded: str) -> DataFrame:
-    """(eval_id, train_id): records whose pictures are the same or almost; pictures that don't decode take no part."""
+def picture_links(df: DataFrame, key: str, image: str, split: str, loaded: str) -> tuple[DataFrame, DataFrame]:
+    """(links, members) as of texts, with no covered share: pictures that are the same or almost; those that don't decode take no part."""
     keyed = cut_lineage(picture_keys(df, key, image, split, loaded))
     order = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "h")
     members = cut_lineage(keyed.groupBy("id").agg(F.max_by(F.struct("side", "h"), order).alias("x")).select("id", "x.*"))
@@ -352,7 +384,13 @@ def picture_overlaps(df: DataFrame, key: str, image: str, split: str, loaded: st
     rep = lambda who, c: reps.where(F.col("side") == who).select(F.col("h").alias(c), F.col("id").alias(f"r{c}"))
     pairs = cut_lineage(pairs.join(rep("eval", "e"), "e").join(rep("train", "t"), "t"))
     equal = pairs.where("e = t").select("e", "t")
-    return expanded(equal.union(same_pictures(pairs.where("e <> t"), df, key, image)), members)
+    links = equal.union(same_pictures(pairs.where("e <> t"), df, key, image))
+    return links.withColumn("covered", F.lit(None).cast("double")), members
+
+
+def picture_overlaps(df: DataFrame, key: str, image: str, split: str, loaded: str) -> DataFrame:
+    """(eval_id, train_id): records whose pictures are the same or almost."""
+    return expanded(*picture_links(df, key, image, split, loaded))
 
 
 def found_rows(overlaps: DataFrame, table: str, field: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.config import cut_lineage
 from auditloom.llm import abuse, chunking, neardup, overlap, packing, pairs, pii, quality, ranking, tokenize
 from auditloom.sources.tables import latest_delivery, read_table
 
@@ -31,14 +33,39 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def overlap_links(spark: SparkSession, folder: str) -> list[tuple[str, str, DataFrame, DataFrame]]:
+    """(table, field, links, members) of the three searches of problem 2."""
+    texts, shown = read_table(spark, folder, "text_samples"), read_table(spark, folder, "image_text_samples")
+    found = [
+        ("text_samples", "text", overlap.text_links(texts, "id", "text", "split", "loaded_at", 30)),
+        ("image_text_samples", "text", overlap.text_links(shown, "id", "text", "split", "loaded_at", 25, answers=True)),
+        ("image_text_samples", "image", overlap.picture_links(shown, "id", "image", "split", "loaded_at")),
+    ]
+    return [(table, field, cut_lineage(links), members) for table, field, (links, members) in found]
+
+
+def _labelled(found: list[tuple[str, str, DataFrame, DataFrame]], f: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    parts = [f(links, members).select(F.lit(table).alias("tbl"), F.lit(field).alias("field"), "*") for table, field, links, members in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlapping evaluation records and pairs by table, field, evaluation split and source."""
-    found = p2_found(spark, folder)
+    """Overlapping evaluation records and pairs (of all copies) by table, field, evaluation split and source."""
     columns = ["id", "split", "source", "loaded_at"]
     every = [latest_delivery(read_table(spark, folder, t).select(*columns)).withColumn("tbl", F.lit(t)) for t in ("text_samples", "image_text_samples")]
     evaluated = every[0].unionByName(every[1]).where(F.col("split").isin("validation", "test")).select("tbl", "id", "split", "source")
-    ends = found.select("tbl", "field", F.explode(F.array("id_a", "id_b")).alias("id"))
-    return ends.join(evaluated, ["tbl", "id"]).groupBy("tbl", "field", "split", "source").agg(F.countDistinct("id").alias("records"), F.count("*").alias("pairs"))
+    found = _labelled(overlap_links(spark, folder), overlap.partners)
+    return found.join(evaluated, ["tbl", "id"]).groupBy("tbl", "field", "split", "source").agg(F.countDistinct("id").alias("records"), F.sum("pairs").alias("pairs"))
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every overlapping record, and the covered share of evaluation texts."""
+    return _labelled(overlap_links(spark, folder), overlap.membership)
+
+
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The linked classes: with p2_members, all pairs."""
+    return _labelled(overlap_links(spark, folder), overlap.class_links)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,3 +61,18 @@ def test_large_cluster_near_the_threshold(spark):
     want = {(i, j) for j in range(300) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.6}
     got = {(r["a"], r["b"]) for r in neardup.similar_pairs(d).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_all_copies_count_as_pairs(spark):
+    rng = random.Random(13)
+    base, other = (" ".join(rng.sample(VOCABULARY, 60)) for _ in range(2))
+    near = substituted(base, [30], 0)
+    rows = [(f"e{i}", base, "test") for i in range(65)] + [(f"t{i}", base, "train") for i in range(64)] + [("n", near, "train"), ("o", other, "train")]
+    d = spark.createDataFrame(rows, "id string, text string, split string").withColumn("loaded_at", F.timestamp_seconds(F.lit(1)))
+    links, members = overlap.text_links(d, "id", "text", "split", "loaded_at", 30)
+    assert {(r["id"], r["pairs"]) for r in overlap.partners(links, members).collect()} == {(f"e{i}", 65) for i in range(65)}
+    found = {r["id"]: (r["class_id"], r["covered"]) for r in overlap.membership(links, members).collect()}
+    assert found == {f"e{i}": ("e0", 1.0) for i in range(65)} | {f"t{i}": ("t0", None) for i in range(64)} | {"n": ("n", None)}
+    assert {tuple(r) for r in overlap.class_links(links, members).collect()} == {("e0", "t0"), ("e0", "n")}
+    one = links.join(members.where("id = 'n'").selectExpr("h as t"), "t").first()
+    assert abs(one["covered"] - 59 / 60) < 1e-9
