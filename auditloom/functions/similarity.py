@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +33,27 @@ def rouge_n(ref: Column, hyp: Column, n: int) -> Column:
     return f1(clipped(a, b), F.size(a), F.size(b))
 
 
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a whole row of the table at once in the bits of a number."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        common = row & at.get(y, 0)
+        row = ((row + common) | (row - common)) & full
+    return len(a) - row.bit_count()
+
+
 def lcs(a: str, b: str) -> Column:
-    """Length of the longest common subsequence of two array columns; row by row of the table, all in Spark."""
-    return F.expr(
-        f"""CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0 ELSE
-        element_at(aggregate({a}, array_repeat(0, size({b}) + 1), (prev, x) ->
-          aggregate(sequence(1, size({b})), array(0), (cur, j) ->
-            concat(cur, array(CASE WHEN element_at({b}, j) = x THEN element_at(prev, j) + 1
-                              ELSE greatest(element_at(cur, j), element_at(prev, j + 1)) END)))), -1) END"""
-    )
+    """Length of the longest common subsequence of two array columns of any length; null if either is null."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else lcs_length(list(p), list(q)) for p, q in zip(x, y)], dtype="Int32")
+
+    return run(F.col(a), F.col(b))
 
 
 def rouge_l(ref: str, hyp: str) -> Column:

@@ -537,9 +537,9 @@ _HYP = f"h AS (SELECT id, list_slice({w('lower(' + ANSWER.replace('{other}', chr
 
 
 def reworded(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, ref, hyp): the words of each answer, and of the answer with some dropped (the first 60: a bound of the alignment, whose cost is quadratic)."""
+    """(id, ref, hyp): the words of each answer, and of the answer with some dropped; all of them."""
     own = pairs(spark, folder).where("text is not null")
-    ws = lambda c: F.slice(P.words(F.lower(P.answer_or_empty(c))), 1, 60)
+    ws = lambda c: P.words(F.lower(P.answer_or_empty(c)))
     hyp = variants.answer_drops(own, n=1).select("id", ws("text").alias("hyp"))
     return own.select("id", ws("text").alias("ref")).join(hyp, "id")
 
@@ -580,10 +580,11 @@ def bleu_1_2(spark: SparkSession, folder: str) -> DataFrame:
 def generation_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and population spread of the ROUGE-L of the three pairs of an id's variants."""
     own = variants.answer_drops(pairs(spark, folder).where("text is not null"), n=3)
-    ws = F.slice(P.words(F.lower(P.answer_or_empty("text"))), 1, 60)
+    ws = P.words(F.lower(P.answer_or_empty("text")))
     a = own.select("id", F.col("variant_no").alias("i"), ws.alias("a"))
     both = a.join(own.select("id", F.col("variant_no").alias("j"), ws.alias("b")), "id").where("i < j")
-    return both.groupBy("id").agg(F.round(F.avg(G.rouge_l("a", "b")), 6).alias("mean_rouge_l"), F.round(F.stddev_pop(G.rouge_l("a", "b")), 6).alias("std_rouge_l"))
+    scored = both.select("id", G.rouge_l("a", "b").alias("r"))
+    return scored.groupBy("id").agg(F.round(F.avg("r"), 6).alias("mean_rouge_l"), F.round(F.stddev_pop("r"), 6).alias("std_rouge_l"))
 
 
 @query("embedding_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
