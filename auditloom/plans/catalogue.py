@@ -659,10 +659,10 @@ def lr_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """M5-M11, with few trees; the number is a parameter."""
+    """M5-M11."""
     names = [*THREE, *NB17]
     train, _ = fit_and_test(spark, folder)
-    return models.probabilities(models.fit_boosted(train, names, "is_member", trees=10), combined(spark, folder), names).select("id", F.round("score", 6).alias("score"))
+    return models.probabilities(models.fit_boosted(train, names, "is_member"), combined(spark, folder), names).select("id", F.round("score", 6).alias("score"))
 
 
 @query("signal_ablation")
@@ -677,7 +677,7 @@ def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most important features; the limit is the report's."""
     names = [*THREE, *NB17]
     train, _ = fit_and_test(spark, folder)
-    top = models.importances(models.fit_boosted(train, names, "is_member", trees=10), names)[:10]
+    top = models.importances(models.fit_boosted(train, names, "is_member"), names)[:10]
     return spark.createDataFrame([(f, round(v, 6), i) for i, (f, v) in enumerate(top, 1)], "feature string, importance double, place int")
 
 

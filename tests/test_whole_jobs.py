@@ -6,6 +6,7 @@ import random
 import pytest
 
 from auditloom.functions import similarity
+from auditloom.operators import models
 from auditloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +37,21 @@ def test_answers_are_scored_whole(spark):
     for r in rows:
         common = longest(r["ref"], r["hyp"])
         assert abs(scores[r["id"]] - (2 * common / (len(r["ref"]) + len(r["hyp"])) if common else 0)) < 1e-5
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test data")
+@pytest.mark.parametrize("name", ["gbt_scores", "feature_importances"])
+def test_boosted_trees_have_the_method_s_size(spark, monkeypatch, name):
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(train, features, label, method="combined", trees=None):
+        asked.append(trees or models.BOOSTED[method][0])
+        raise Stop
+
+    monkeypatch.setattr(models, "fit_boosted", fit)
+    with pytest.raises(Stop):
+        catalogue.queries()[name](spark, DATA)
+    assert asked == [300]
