@@ -79,14 +79,12 @@ def copies(question: str, answer: str) -> bool:
 def refuses(answer: str) -> bool:
     """Whether the answer declines, and no sentence of it tells of the picture."""
     text = answer.lower().replace("’", "'")
-    if len(text) > 600:
-        return False
     declined = False
     for s in SENTENCE.findall(text):
         if not word_like(s):
             continue
         words = len(WORD.findall(s))
-        if DECLINES.search(s) and words <= 32 and not (DESCRIBES.search(s) and words > 18):
+        if DECLINES.search(s) and not (DESCRIBES.search(s) and words > 18):
             declined = True
         elif not (COURTESY.search(s) and words <= 14):
             return False

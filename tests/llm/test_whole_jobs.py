@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.llm import neardup, overlap, quality
+from auditloom.llm import neardup, overlap, pairs, quality
 
 VOCABULARY = [f"w{i}" for i in range(900)]
 
@@ -76,3 +76,10 @@ def test_all_copies_count_as_pairs(spark):
     assert {tuple(r) for r in overlap.class_links(links, members).collect()} == {("e0", "t0"), ("e0", "n")}
     one = links.join(members.where("id = 'n'").selectExpr("h as t"), "t").first()
     assert abs(one["covered"] - 59 / 60) < 1e-9
+
+
+def test_long_refusals():
+    many = "I am sorry, but I cannot help with this picture. " * 20
+    long = "I cannot help with this request because " + "the rules that I was given on private and medical matters apply here " * 4 + "in full."
+    assert len(many) > 600 and pairs.refuses(many) and pairs.refuses(long)
+    assert not pairs.refuses(many + "A grey cat lies on the red sofa beside the window.")
