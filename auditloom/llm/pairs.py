@@ -13,12 +13,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.config import cut_lineage
 from auditloom.llm.textnp import batches, code_points, mix, run_hash, word_table
 
 # Dictionaries of function words and question words.
@@ -39,22 +39,37 @@ DECLINES = re.compile(
     r"\b(?:"
     r"(?:i|we)(?:'m| am|'re| are)? (?:really )?(?:cannot|can't|can not|could not|couldn't|won't|will not|must not|must decline|have to decline|must refuse|decline|refuse|prefer not|would rather not|'d rather not|am not able|'m not able|unable|not able|not allowed|not permitted|do not feel|don't feel|not comfortable|do not have access|don't have access|have no access|lack the ability|have no way)"
     r"|i'd rather not|i am unable|i'm unable|(?:am|are|'m) not (?:able|allowed|permitted|in a position|going) to|do(?:es)?n't allow me|do(?:es)? not allow me|not something i (?:can|may|will)|(?:as an|an|like an) (?:ai|assistant|language model)\b|language model|my guidelines|my policies|my instructions|off limits|outside what i|beyond what i|nothing i (?:may|can|will) say|has to stay blank|must stay blank|should leave this to|leave this to a person|no comment|have to pass on|not going to (?:answer|describe|discuss|comment)"
-    r"|leider (?:kann|darf)|kann ich (?:leider )?nicht|darf ich nicht|ich kann (?:dieses|das|diese|ihnen|dir|leider)?[^.]{0,30}nicht|nicht helfen|möchte ich nicht|ich möchte (?:dazu|darüber) nicht"
-    r"|no puedo|no me es posible|no estoy autorizad|no tengo permitido|prefiero no|lo siento"
-    r"|je ne peux|je ne suis pas (?:en mesure|autoris)|je préfère ne pas|désolée?,? (?:mais )?je|impossible pour moi"
+    r"|(?:not|n't) be (?:appropriate|right|proper|possible|responsible)(?: for me)?|inappropriate for me|goes? against|against (?:my|the|our) (?:rules|policy|policies|guidelines|principles)|falls? outside|outside (?:of )?what (?:i|we)|(?:rules|policy|policies|guidelines) (?:forbid|prevent|prohibit|don't|do not)|(?:request|question) (?:is|was) (?:declined|refused|denied)|not (?:willing|prepared) to|answer is withheld"
+    r"|leider (?:kann|darf)|(?:kann|darf|möchte|werde|will) ich[^.]{0,30} nicht|ich (?:kann|darf|möchte|werde|will)[^.]{0,40}nicht|nicht helfen|ich (?:lehne|verweigere)|lehne ich|muss ich ablehnen|gegen meine|keine auskunft|nicht gestattet|nicht erlaubt"
+    r"|no (?:puedo|podemos|debo|quiero|voy a)|no me es posible|no estoy (?:autorizad|en condiciones)|no tengo permitido|prefiero no|me niego|rechazo|va contra mis|sin comentarios"
+    r"|je ne (?:peux|puis|veux|dois|souhaite)|je ne suis pas (?:en mesure|autoris)|je préfère ne pas|je refuse|je dois (?:refuser|décliner)|impossible pour moi|contraire à mes|il m'est impossible"
     r")"
 )
-# Courtesies that may stand around a refusal.
+# Courtesies and bare words that may stand around a refusal.
 COURTESY = re.compile(
-    r"\b(?:sorry|apologies|apologise|apologize|unfortunately|regret|with respect|thank you|thanks|hmm|hello|hi|please|try another|another (?:question|one)|anything else|something else|is there anything|let me know|happy to help|ask me|entschuldigung|tut mir leid|leider|lo siento|gracias|disculpe|perdón|désolée?|merci|excusez)\b"
+    r"\b(?:sorry|apologies|apologise|apologize|unfortunately|regret|with respect|thank you|thanks|hmm|hello|hi|please|try another|another (?:question|one)|anything else|something else|is there anything|let me know|happy to help|ask me|entschuldigung|entschuldige|tut mir leid|leider|bedaure|lo siento|lo lamento|gracias|disculpe|lamentablemente|perdón|désolée?|pardon|malheureusement|merci|excusez)\b"
 )
+BARE = re.compile(r"^\W*(?:no|nope|yes|well|oh|nein|non|oui|sí|ja)\W*$")
+# A courtesy makes a refusal of a sentence that has one of these and tells of no picture.
+ABOUT_ITSELF = re.compile(r"\b(?:no|not|n't|cannot|never|answer|reply|respond|request|questions?|rules?|polic(?:y|ies)|guidelines?|describ(?:e|ing)|discuss(?:ing)?|comment(?:ing)?|help|assist|allowed|permitted|nicht|keine?|antwort|frage|puedo|respuesta|pregunta|ne|pas|réponse|répondre)\b|n't\b")
 # Words that a description of a picture has, not a refusal.
 DESCRIBES = re.compile(r"\b(?:we can see|there (?:is|are) (?:a|an|two|three|several|some)|stands?|hangs?|lies|lying|standing|sitting|wearing|holding|beside|next to|in front of|foreground|background|behind the|looks like|shows? (?:a|an|the)|appears|visible)\b")
+#: A copy's bytes that the question doesn't hold, as a share of its size alone.
+COPY_SHARE = 0.45
+ANSWERS = re.compile(r"^(?:yes|no|ja|nein|sí|oui|non)\b")
+# A page number at the end is no part of an answer.
+FOOTER = re.compile(r"\s*\b(?:page|seite|página|pagina)\s+\d+\s+(?:of|von|de|sur)\s+\d+\s*$", re.I)
+
+
+@functools.cache
+def _alone() -> tuple[zstandard.ZstdCompressor, int]:
+    own = zstandard.ZstdCompressor(level=6, write_content_size=False, write_checksum=False)
+    return own, len(own.compress(b""))
 
 
 @functools.lru_cache(4096)
 def _dictionary(question: str) -> tuple[zstandard.ZstdCompressor, int]:
-    raw = zstandard.ZstdCompressionDict(question.encode() * (1 + 16 // max(1, len(question))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = zstandard.ZstdCompressionDict(question.encode("utf-8", "surrogatepass") * (1 + 16 // max(1, len(question))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_checksum=False)
     return own, len(own.compress(b""))
 
@@ -63,17 +78,19 @@ def plain(text: str) -> str:
     return " ".join(WORD.findall(text.lower().replace("’", "'")))
 
 
+def novelty(question: str, answer: str) -> float:
+    """Bytes of the compressed answer that the question as dictionary doesn't save, as a share of those without it."""
+    (given, empty), (alone, nothing) = _dictionary(question), _alone()
+    raw = answer.encode("utf-8", "surrogatepass")
+    return (len(given.compress(raw)) - empty) / max(1, len(alone.compress(raw)) - nothing)
+
+
 def copies(question: str, answer: str) -> bool:
-    """Whether the answer is nothing but the question again."""
+    """Whether the answer is nothing but the question again, small changes aside; a yes or no before it answers it."""
     q, a = plain(question), plain(answer)
-    if not q or len(a) < 0.8 * len(q):
-        return False
-    compressor, empty = _dictionary(q)
-    novel = len(compressor.compress(a.encode())) - empty  # what the question doesn't already hold
-    if novel > 14 + 0.12 * len(a):
+    if not q or len(a) < 0.8 * len(q) or ANSWERS.match(a) and not ANSWERS.match(q):
         return False
-    rest = a.replace(q, " ").split()
-    return q in a and len(rest) <= 4 and not DESCRIBES.search(" ".join(rest))
+    return novelty(q, a) <= COPY_SHARE
 
 
 def refuses(answer: str) -> bool:
@@ -81,10 +98,10 @@ def refuses(answer: str) -> bool:
     text = answer.lower().replace("’", "'")
     declined = False
     for s in SENTENCE.findall(text):
-        if not word_like(s):
+        if not word_like(s) or BARE.match(s):
             continue
-        words = len(WORD.findall(s))
-        if DECLINES.search(s) and not (DESCRIBES.search(s) and words > 18):
+        words, tells = len(WORD.findall(s)), DESCRIBES.search(s)
+        if DECLINES.search(s) and not (tells and words > 18) or COURTESY.search(s) and ABOUT_ITSELF.search(s) and not tells:
             declined = True
         elif not (COURTESY.search(s) and words <= 14):
             return False
@@ -132,7 +149,7 @@ def other_language(question: str, answer: str) -> bool:
 
 def split_pair(text: str) -> tuple[str, str | None]:
     question, newline, answer = text.partition("\n")
-    return question, ROLE.sub("", answer, count=1).strip() if newline else None
+    return question, FOOTER.sub("", ROLE.sub("", answer, count=1)).strip() if newline else None
 
 
 def plain_defect(text: str) -> str | None:
@@ -152,8 +169,11 @@ def plain_defect(text: str) -> str | None:
 # ---- terminal-context model
 
 _SLOT = np.uint64(0x1234567)
+_WORD, _STEM = np.uint64(0x3C), np.uint64(0x3D)
 _STOP, _COMMA, _NUMBER = np.uint64(0x51), np.uint64(0x52), np.uint64(0x53)
 MIN_SEEN = 3
+SHORT = 3  # words of an answer that is whole unless its last word asks for another
+CONTEXTS = ("skeleton", "bigram", "word", "stem")
 
 
 @functools.cache
@@ -196,79 +216,103 @@ def _tokens(texts: list[str]) -> dict[str, np.ndarray]:
         bigram = mix(mix(before ^ np.uint64(0xB1)) ^ key)
     following = np.concatenate([kind[1:], [1]]).astype(np.int8)
     next_slot = np.concatenate([slot[1:], [False]])
-    return {"kind": kind, "at": at, "skeleton": skeleton, "bigram": bigram, "word": mix(key ^ np.uint64(0x3C)), "ends": following == 1, "phrase": ~next_slot, "cut": np.concatenate([final[1:], [True]]), "text": np.searchsorted(text_start, at, "right") - 1}
-
-
-def _context_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, times seen, times an end) of all contexts in complete sentences."""
-    t = _tokens(texts)
+    text = np.searchsorted(text_start, at, "right") - 1
+    return {
+        "kind": kind, "text": text, "skeleton": skeleton, "bigram": bigram, "word": mix(key ^ _WORD), "stem": mix(key ^ _STEM), "functional": functional,
+        "ends": following == 1, "pauses": following != 0, "phrase": ~next_slot, "cut": np.concatenate([final[1:], [True]]),
+        "stems": _stems(cps, ws, we, word, final[np.minimum(np.searchsorted(at, we, "left"), len(at) - 1)] if len(at) else final),
+    }
+
+
+def _stems(cps: np.ndarray, ws: np.ndarray, we: np.ndarray, word: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The stem keys of the proper beginnings of the different words, those at the end of a text without a stop aside."""
+    ws, we, word = ws[~last], we[~last], word[~last]
+    first = np.unique(word, return_index=True)[1]
+    start, n = ws[first], we[first] - ws[first] - 1
+    length = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    start = np.repeat(start, n)
+    return mix(run_hash(cps, start, start + length) ^ _STEM)
+
+
+def _context_counts(t: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(key, times seen, times an end, times a sentence's end) of all contexts in complete sentences."""
     # a text's last sentence teaches nothing where it lacks its stop, for it may be broken off; its words but the last do
     usable = (t["kind"] == 0) & ~t["cut"]
-    keys = np.concatenate([t["skeleton"][usable & t["phrase"]], t["bigram"][usable], t["word"][usable]])
-    ends = np.concatenate([t["ends"][usable & t["phrase"]], t["phrase"][usable], np.ones(int(usable.sum()), bool)])
+    whole = usable & t["phrase"]
+    none = np.zeros(len(t["stems"]), bool)
+    keys = np.concatenate([t["skeleton"][whole], t["bigram"][usable], t["word"][usable], t["stems"]])
+    ends = np.concatenate([t["ends"][whole], t["phrase"][usable], t["pauses"][usable], none])
+    final = np.concatenate([t["ends"][whole], t["ends"][usable], t["ends"][usable], none])
     unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse), np.bincount(inverse, weights=ends).astype(np.int64)
+    count = lambda w: np.bincount(inverse, weights=w, minlength=len(unique)).astype(np.int64)
+    return unique, count(None), count(ends), count(final)
 
 
-def _answers(texts: list[str | None]) -> list[str]:
-    return [split_pair(t)[1] or "" if t else "" for t in texts]
-
-
-def context_model(df: DataFrame, text: str = "text") -> DataFrame:
-    """(key BIGINT, seen BIGINT, ends BIGINT) over the answers of all rows; counted within each Arrow batch before the shuffle."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            texts = _answers(batch.column(0).to_pylist())
-            for a, b in batches(texts):
-                keys, seen, ends = _context_counts(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen.astype(np.int64)), pa.array(ends)], names=["key", "seen", "ends"])
-
-    return df.select(text).mapInArrow(run, "key bigint, seen bigint, ends bigint").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+SALT = 16
 
 
 def find_defects(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, defect) of each pair with a defect, one row a key; df has one row a key.
 
     Null texts are no pairs and have no row. A pair with several defects gets the first of empty_answer, copied_question,
-    refusal, other_language, truncated_answer.
+    refusal, other_language, truncated_answer. One pass over the texts gives both the defects that a pair itself shows and the counts of the
+    terminal-context model, summed within each batch before they are shuffled.
     """
     kind = df.schema[key].dataType.simpleString()
-    pairs = df.where(F.col(text).isNotNull()).select(key, text)
 
-    def judge(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = batch[text].tolist()
-            found = [plain_defect(t) for t in texts]
-            answers = [split_pair(t)[1] or "" if d == "open" else "" for t, d in zip(texts, found)]
-            out = pd.DataFrame({key: batch[key], "defect": found, "skeleton": 0, "bigram": 0, "word": 0, "broken": False})
-            rows = [i for i, d in enumerate(found) if d == "open"]
-            if rows:
-                t = _tokens([answers[i] for i in rows])
+            every = batch.column(1).to_pylist()
+            for a, b in batches(every):
+                texts = every[a:b]
+                found = [plain_defect(x) for x in texts]
+                t = _tokens([split_pair(x)[1] or "" for x in texts])
+                keys, *counts = _context_counts(t)
+                rows = np.array([i for i, d in enumerate(found) if d], np.int64)
+                place = np.full(b - a, -1)
+                place[rows] = np.arange(len(rows))
                 last = np.flatnonzero(t["cut"] & (t["kind"] != 1))
-                row = np.array(rows)[t["text"][last]]
-                for name in ("skeleton", "bigram", "word"):
-                    column = np.zeros(len(out), np.int64)
-                    column[row] = t[name][last].view(np.int64)
-                    out[name] = column
-                dangling = np.zeros(len(out), bool)
-                dangling[row] = t["kind"][last] == 2
-                out["broken"] = dangling
-            yield out[out["defect"].notna()]
-
-    judged = pairs.mapInPandas(judge, f"{key} {kind}, defect string, skeleton bigint, bigram bigint, word bigint, broken boolean")
-    sure = judged.where(F.col("defect") != "open").select(key, "defect")
-    model = context_model(pairs, text).withColumnRenamed("key", "__k")
-    asked = judged.where(F.col("defect") == "open").select(key, "broken", F.explode(F.array(*[F.struct(F.lit(n).alias("context"), F.col(n).alias("__k")) for n in ("skeleton", "bigram", "word")])).alias("x")).select(key, "broken", "x.*")
-    told = asked.join(model, "__k", "left")
+                last = last[place[t["text"][last]] >= 0]
+                at = place[t["text"][last]]
+                of = {n: np.zeros(len(rows), np.int64) for n in CONTEXTS}
+                for n in CONTEXTS:
+                    of[n][at] = t[n][last].view(np.int64)
+                flags = {n: np.zeros(len(rows), bool) for n in ("dangling", "functional", "short")}
+                flags["dangling"][at], flags["functional"][at] = t["kind"][last] == 2, t["functional"][last]
+                flags["short"] = np.bincount(t["text"][t["kind"] == 0], minlength=b - a)[rows] <= SHORT
+                n, m = len(rows), len(keys)
+                pad = lambda x, before, after: pa.concat_arrays([pa.nulls(before, x.type), x, pa.nulls(after, x.type)])
+                columns = [pad(batch.column(0).slice(a, b - a).take(pa.array(rows)), 0, m), pad(pa.array([found[i] for i in rows], pa.string()), 0, m)]
+                columns += [pad(pa.array(x), 0, m) for x in (*of.values(), *flags.values())]
+                columns += [pad(pa.array(x), n, 0) for x in (keys.view(np.int64), *counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [key, "defect", *CONTEXTS, "dangling", "functional", "short", "__k", "seen", "ends", "final"]
+    schema = f"{key} {kind}, defect string, {', '.join(f'{c} bigint' for c in CONTEXTS)}, dangling boolean, functional boolean, short boolean, __k bigint, seen bigint, ends bigint, final bigint"
+    read = cut_lineage(df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema))
+    judged = read.where("defect is not null")
+    sure = judged.where("defect <> 'open'").select(key, "defect")
+    contexts = F.explode(F.array(*[F.struct(F.lit(n).alias("context"), F.col(n).alias("__k")) for n in CONTEXTS])).alias("x")
+    asked = judged.where("defect = 'open'").select(key, "dangling", "functional", "short", contexts).select(key, "dangling", "functional", "short", "x.*")
+    # only the contexts asked for are summed; each is there once a salt, for many answers may end alike
+    model = read.where("defect is null").join(asked.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "final")])
+    salted = model.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    told = asked.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")).join(salted, ["__k", "__s"], "left")
     value = lambda n, c: F.coalesce(F.max(F.when(F.col("context") == n, F.col(c))), F.lit(0))
-    joined = told.groupBy(key).agg(F.max("broken").alias("broken"), *[value(n, c).alias(f"{n}_{c}") for n in ("skeleton", "bigram", "word") for c in ("seen", "ends")])
+    flags = [F.max(c).alias(c) for c in ("dangling", "functional", "short")]
+    joined = told.groupBy(key).agg(*flags, *[value(n, c).alias(f"{n}_{c}") for n in CONTEXTS for c in ("seen", "ends", "final")])
     return sure.unionByName(joined.where(is_broken()).select(key, F.lit("truncated_answer").alias("defect")))
 
 
 def is_broken():
-    """Whether an answer without a full stop ends within a sentence or a word."""
-    unknown_word = F.col("word_seen") < MIN_SEEN
-    no_phrase_end = (F.col("bigram_seen") >= MIN_SEEN) & (F.col("bigram_ends") < 0.3 * F.col("bigram_seen"))
-    no_sentence_end = F.when(F.col("skeleton_seen") >= MIN_SEEN, F.col("skeleton_ends") < 0.3 * F.col("skeleton_seen")).otherwise(F.lit(False))
-    return F.col("broken") | unknown_word | no_phrase_end | no_sentence_end
+    """Whether an answer without a full stop ends within a sentence or a word.
+
+    A word that sentences don't pause after asks for another. Of longer answers, a last word that always ends sentences after its predecessor settles it; else
+    the beginning of a known word, a predecessor and word that hardly end phrases, or a skeleton that hardly ends sentences, tells that something lacks.
+    """
+    known = lambda n: F.col(f"{n}_seen") >= MIN_SEEN
+    seldom = lambda n, c="ends": F.col(f"{n}_{c}") < 0.3 * F.col(f"{n}_seen")
+    asks = F.col("functional") & known("word") & seldom("word")
+    settled = known("bigram") & (F.col("bigram_final") >= 0.9 * F.col("bigram_seen"))
+    part = ~known("word") & known("stem")
+    return F.col("dangling") | asks | ~F.col("short") & ~settled & (part | known("bigram") & seldom("bigram") | known("skeleton") & seldom("skeleton"))

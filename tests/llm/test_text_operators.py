@@ -42,6 +42,15 @@ def test_words_against_regex():
         ("What can be seen in this picture?\nEin Kind steht neben dem Haus, während ein Mann auf der Wiese liegt.", "other_language"),
         ('What can be seen in this picture?\nThe sign says "Der Bäcker und die Frau sind nicht hier" and it is red.', None),
         ("Is there a dog?\nNo.", None),
+        ("What is it?\nJe refuse de répondre.", "refusal"),
+        ("What is it?\nSorry, no.", "refusal"),
+        ("What is it?\nNo. I prefer not to describe people.", "refusal"),
+        ("What is it?\nHmm, describing it would go against my rules!", "refusal"),
+        ("What is it?\n" + "I'm sorry, but I can't help with that. " * 40, "refusal"),
+        ("What colour is the bus on the left?\nWhat color is the bus on the left?", "copied_question"),
+        ("What colour is the bus?\nThe colour of the bus is red.", None),
+        ("Is there a dog in the picture?\nYes, there is a dog in the picture.", None),
+        ("How many dogs are there?\n3", "open"),
     ],
 )
 def test_plain_defects(text, defect):
@@ -54,8 +63,9 @@ def test_truncated_answers(spark):
     full = lambda: f"The {rng.choice(nouns)} near the {rng.choice(nouns)} is {rng.choice(colours)}. A {rng.choice(nouns)} stands beside the {rng.choice(nouns)}."
     rows = [(f"f{i}", "What is it?\n" + full()) for i in range(200)]
     rows += [("cut", "What is it?\nThe bus near the tent is"), ("word", "What is it?\nThe bus near the tent is red. A dog stands beside the ket"), ("nostop", "What is it?\nThe bus near the tent is red. A dog stands beside the kettle"), ("null", None)]
+    rows += [("none", "Is there a dog?\nNone"), ("three", "How many?\n3"), ("red", "Which?\nred"), ("asks", "Which?\nThe"), ("name", "Who?\nThe dog near the bus is Zephyrine"), ("page", "What is it?\n" + full() + " Page 1 of 1")]
     got = {r["id"]: r["defect"] for r in pairs.find_defects(spark.createDataFrame(rows, "id string, text string")).collect()}
-    assert got == {"cut": "truncated_answer", "word": "truncated_answer"}
+    assert got == {"cut": "truncated_answer", "word": "truncated_answer", "asks": "truncated_answer"}
     assert pairs.find_defects(spark.createDataFrame([], "id string, text string")).count() == 0
 
 
