@@ -1,10 +1,13 @@
 """Problem 2: evaluation records that occur again in the training split, exactly or almost.
 
-Texts: every text gives the first of its distinct passages (runs of words) in one order, the rarer first, so many that two similar
-texts share LEAST of them; Aho-Corasick automata over shards of the evaluation texts' passages scan those of the training
-texts, and pairs with LEAST matches are compared exactly, so no similar pair is lost. Pictures: bits of block means against random thresholds differ in proportion to
-the mean absolute difference; pairs that agree in one of many groups of bits are compared exactly.
-Equal texts and equal pictures are one class throughout.
+Texts are read once into words as symbols (one code point a word). Every evaluation text is cut into passages of PASSAGE words that don't overlap;
+Aho-Corasick automata over shards of the passages scan the training texts, wherever a passage may begin. An edited copy keeps passages:
+at a similarity of 0.6 a text of n words has at most n / EDITED single edits, each of which spoils one passage, so that of the
+n / PASSAGE passages at least n (1 / PASSAGE - 1 / EDITED) are left; as many of the most frequent passages needn't be looked for. Pairs that share a
+passage are compared by odd sketches (parities of hashed runs, whose difference tells the runs that only one text has), and those over
+the threshold but for chance exactly, with the merged common intervals as coverage of the evaluation text.
+Pictures: bits of block means against random thresholds differ in proportion to the mean absolute difference; pairs that agree in one of many groups of
+bits are compared exactly. Equal texts and equal pictures are one class throughout.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +25,18 @@ from auditloom.llm.pairs import split_pair
 from auditloom.llm.textnp import U64, Words, batches, mix
 from auditloom.sources.images import decode, shrink
 
-#: Pairs with fewer matched passages aren't compared; ``leading`` takes the number of passages that makes this exact.
-LEAST = 8
-BUCKETS = 1 << 20
-SHARD = 50_000  # passages an automaton: about 100 MB
-BITMAP = 1 << 26  # bits that tell which passages can match: 8 MB
 K, THRESHOLD = 3, 0.6
-PASSAGE = K  # passages are the runs whose sets are compared
+PASSAGE = 6  # words of a passage
+EDITED = 9.5  # words an edit at the threshold: the most edits that leave a similarity of 0.6
+SHARD = 100_000  # passages an automaton: about 60 MB
+ROWS = 200_000  # training texts that an automaton scans in one task
+ODD = 512  # bits of an odd sketch
+SIGMAS = 5.0  # a similar pair is lost to chance in 1 of 3 million
+GAP = 0x10FFFF  # the symbol between stretches
 GROUPS, BITS = 48, 64
 SAME_PICTURE = 10.0
+#: Training pictures in one block of a hot group of bits.
+BLOCK = 256
 #: Classes of copies come out as all pairs up to this number of pairs, else each copy with the other side's first.
 EXPAND = 4096
 
@@ -55,168 +60,246 @@ def _texts(column: pa.Array, answers: bool) -> list[str]:
     return [split_pair(t)[1] or "" for t in texts] if answers else texts
 
 
-def _batches(stream: Iterator[pa.RecordBatch], at: int, answers: bool, least: int):
-    """(batch, offset, texts, words, numbers of texts, hashes) of the parts of all batches."""
-    for batch in stream:
-        texts = _texts(batch.column(at), answers)
-        for a, b in batches(texts):
-            yield batch, a, texts[a:b], *_hashed(texts[a:b], least)
+def odd_sketches(runs: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """n x ODD bits as bytes: the parity of the distinct runs of each text that hash to a bit; runs: distinct within each text."""
+    counts = np.bincount(doc * ODD + (runs >> U64(32)).astype(np.int64) % ODD, minlength=n * ODD)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, ODD), axis=1)
 
 
-def text_members(own: DataFrame, least: int, answers: bool) -> DataFrame:
-    """(id, side, h) of the texts with enough words, of each id the latest delivery; own: (id, side, loaded_at, t).
+def odd_limit(sizes: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The bits in which the sketches of two texts over the threshold differ at most, by the sum of their sizes, but for chance."""
+    lone = (1 - threshold) / (1 + threshold) * sizes
+    share = (1 - np.exp(-2 * lone / ODD)) / 2
+    return ODD * share + SIGMAS * np.sqrt(ODD * share * (1 - share)) + 1
 
-    The texts stay where they are read; the deliveries of an id are told apart by these short rows.
+
+def read_texts(own: DataFrame, least: int, answers: bool) -> DataFrame:
+    """(id, side, loaded_at, h, size, words, sketch, symbols) of the texts with enough words; size: distinct runs of K words.
+
+    Of equal texts of one side in a batch only the first has a sketch and symbols, so that a hot group of copies is small before any shuffle.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, _, _, rows, h in _batches(stream, 3, answers, least):
-            take = pa.array(rows + a)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(h.view(np.int64))], names=["id", "side", "loaded_at", "h"])
-
-    read = own.mapInArrow(run, "id string, side string, loaded_at timestamp, h bigint")
+        for batch in stream:
+            texts = _texts(batch.column(3), answers)
+            sides = np.array(batch.column(1).to_pylist(), dtype=object) == "eval"
+            for a, b in batches(texts):
+                w, rows, h = _hashed(texts[a:b], least)
+                first = np.zeros(len(rows), bool)
+                first[np.unique(mix(h ^ sides[a:b][rows].astype(U64)), return_index=True)[1]] = True
+                place = np.full(b - a, -1)
+                place[rows[first]] = np.arange(int(first.sum()))
+                runs, doc = w.runs(K)
+                runs, doc = runs[place[doc] >= 0], place[doc][place[doc] >= 0]
+                order = np.lexsort((runs, doc))
+                runs, doc = runs[order], doc[order]
+                fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]) if len(runs) else np.zeros(0, bool)
+                runs, doc = runs[fresh], doc[fresh]
+                n = int(first.sum())
+                symbols = (w.key >> U64(43)).astype(np.uint32) % np.uint32(GAP - 0x10000) + np.uint32(0x10000)
+                mine = place[w.doc] >= 0
+                count = np.diff(w.first)[rows]
+                take, fill = pa.array(rows + a), pa.array(np.where(first, np.cumsum(first) - 1, 0), mask=~first)
+                sketches = pa.array([x.tobytes() for x in odd_sketches(runs, doc, n)], pa.binary())
+                columns = [pa.array(h.view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int32), pa.int32()).take(fill), pa.array(count.astype(np.int32))]
+                columns += [sketches.take(fill), as_strings(symbols[mine], count[first]).take(fill)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *columns], names=["id", "side", "loaded_at", "h", "size", "words", "sketch", "symbols"])
+
+    return own.mapInArrow(run, "id string, side string, loaded_at timestamp, h bigint, size int, words int, sketch binary, symbols string")
+
+
+def as_strings(symbols: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Strings of so many symbols each; every symbol takes four bytes."""
+    raw = symbols.astype("<u4").tobytes().decode("utf-32-le").encode()
+    ends = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)).cast(pa.string())
+
+
+def as_symbols(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all strings, number of the string of each)."""
+    values = ["" if x is None else x for x in strings.to_pylist()]
+    n = np.fromiter(map(len, values), np.int64, len(values))
+    return np.frombuffer("".join(values).encode("utf-32-le"), np.uint32), np.repeat(np.arange(len(values)), n)
+
+
+def text_members(read: DataFrame) -> DataFrame:
+    """(id, side, h) of the texts, of each id the latest delivery."""
     order = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "h")
     return read.groupBy("id").agg(F.max_by(F.struct("side", "h"), order).alias("x")).select("id", "x.side", "x.h")
 
 
-def passage_counts(own: DataFrame, least: int, answers: bool) -> np.ndarray:
-    """How often passages of each hash bucket occur in the evaluation texts: a sketch of BUCKETS numbers, whatever the corpus."""
+def passage_keys(symbols: np.ndarray) -> np.ndarray:
+    """The hash of the passage that begins at each symbol (the last few don't begin any)."""
+    n = max(0, len(symbols) - PASSAGE + 1)
+    h = np.zeros(n, U64)
+    with np.errstate(over="ignore"):
+        for j in range(PASSAGE):
+            h = h * U64(0x5851F42D4C957F2D) + symbols[j : n + j].astype(U64)
+    return mix(h)
+
+
+def tiles(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first symbol, key, number of the text) of the passages that each text is cut into; words over at the end are none."""
+    keys = passage_keys(symbols)
+    at = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    start = np.flatnonzero((at[: len(keys)] % PASSAGE == 0) & (doc[: len(keys)] == doc[PASSAGE - 1 :][: len(keys)]))
+    return start, keys[start], doc[start]
+
+
+def passage_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(how often passages of each hash bucket occur in the evaluation texts, number of passages): a sketch of a bounded size."""
+    most = 1 << 20
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for _, _, _, w, rows, h in _batches(stream, 0, answers, least):
-            runs, doc = w.runs(PASSAGE)
-            own_ = np.isin(doc, rows[np.unique(h, return_index=True)[1]])  # copies in a batch count once
-            total += np.bincount((runs[own_] & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        total = np.zeros(most, np.int64)
+        for batch in stream:
+            _, key, _ = tiles(*as_symbols(batch.column(0)))
+            total += np.bincount((key & U64(most - 1)).astype(np.int64), minlength=most)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = own.where("side = 'eval'").select("t").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    rows = texts.select("symbols").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(most, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return np.minimum(out, 1 << 30).astype(np.int32)
+    return np.minimum(out, 1 << 30).astype(np.int32), int(out.sum())
 
 
-def _passage(low: str, w: Words, i: int) -> str:
-    """The passage that begins with word i, one blank around and between its words; low: the lower-cased texts, joined."""
-    return " " + " ".join([low[a:b] for a, b in zip(w.start[i : i + PASSAGE].tolist(), w.end[i : i + PASSAGE].tolist())]) + " "
+def chosen_passages(texts: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
+    """(h, size, sketch, shard, passages): of every evaluation text the passages looked for, by the shard of their key, one after the other.
 
+    The most frequent ones are left out, as many as an edited copy at the threshold keeps but one.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # bounded
 
-def common_at_least(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Passages that a text with n distinct ones shares with any text over the threshold, at least."""
-    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            symbols, doc = as_symbols(batch.column(3))
+            start, key, of = tiles(symbols, doc)
+            order = np.lexsort((key, shared.value[(key & U64(len(shared.value) - 1)).astype(np.int64)], of))
+            start, key, of = start[order], key[order], of[order]
+            words, every = np.bincount(doc, minlength=batch.num_rows), np.bincount(of, minlength=batch.num_rows)
+            kept = np.maximum(1, np.floor(words * (1 / PASSAGE - 1 / EDITED))).astype(np.int64)
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            wanted = rank < (every - kept + 1)[of]
+            start, key, of = start[wanted], key[wanted], of[wanted]
+            yield _by_shard(batch, symbols, start, key, of, shards, False)
+
+    return texts.select("h", "size", "sketch", "symbols").mapInArrow(run, "h bigint, size int, sketch binary, shard int, passages string")
+
+
+def _by_shard(batch: pa.RecordBatch, symbols: np.ndarray, start: np.ndarray, key: np.ndarray, of: np.ndarray, shards: int, merge: bool) -> pa.RecordBatch:
+    """Rows (h, size, sketch, shard, symbols): the passages at ``start`` of each text and shard; merge: overlapping ones as one stretch, with a gap after each."""
+    shard = ((key >> U64(40)) % U64(shards)).astype(np.int64)
+    order = np.lexsort((start, shard, of))
+    start, shard, of = start[order], shard[order], of[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (shard[1:] != shard[:-1])]) if len(of) else np.zeros(0, bool)
+    length = np.full(len(start), PASSAGE)
+    apart = np.ones(len(start), bool)
+    if merge and len(start):
+        apart = new | np.concatenate([[True], np.diff(start) > PASSAGE])
+        length[~apart] = np.diff(start, prepend=start[:1])[~apart]
+        start = np.where(apart, start, start + PASSAGE - length)
+    ends = np.concatenate([apart[1:], [True]]) & merge if len(start) else apart
+    out = length + ends
+    begin = np.cumsum(out) - out
+    at = np.repeat(start - begin, out) + np.arange(out.sum())
+    text = symbols[np.minimum(at, len(symbols) - 1)] if len(symbols) else symbols
+    text = text.copy()
+    text[(begin + length)[ends]] = GAP
+    group = np.cumsum(new) - 1
+    n = int(new.sum())
+    total = np.bincount(group, weights=out, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
+    take = pa.array(of[new])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(shard[new].astype(np.int32)), as_strings(text, total)], names=["h", "size", "sketch", "shard", "passages"])
+
+
+def key_bits(chosen: DataFrame, passages: int) -> np.ndarray:
+    """A bitmap of the keys of the passages looked for, 32 bits for each but 128 MB at most: without false negatives."""
+    bits = min(1 << 30, max(1 << 20, 1 << (32 * passages).bit_length()))
 
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            _, key, _ = tiles(*as_symbols(batch.column(0)))
+            bit = np.unique((key & U64(bits - 1)).astype(np.int64))
+            word = bit >> 5
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            value = np.bitwise_or.reduceat(np.int64(1) << (bit & 31), first) if len(first) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(value)], names=["word", "b"])
+
+    rows = chosen.select("passages").mapInArrow(run, "word int, b bigint").groupBy("word").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return out
 
-def leading(w: Words, rows: np.ndarray, h: np.ndarray, counts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """(index in h, place, key, rank, size) of the leading passages of the different texts among rows; size: distinct passages of the text.
 
-    The order is by the sketch's counts, then by key, the same for all texts. Two texts over the threshold share at least
-    common_at_least(size) passages; all but the leading size - common_at_least(size) + least come after the first ``least`` shared ones in either
-    text, so both lead with these. The counts only save work: any order is exact.
-    """
-    runs, doc = w.runs(PASSAGE)
-    of = np.full(len(w.first) - 1, -1)
-    chosen = np.unique(h, return_index=True)[1]
-    of[rows[chosen]] = chosen
-    place = np.arange(len(runs)) - np.searchsorted(doc, doc)
-    own = of[doc] >= 0
-    runs, doc, place = runs[own], doc[own], place[own]
-    order = np.lexsort((place, runs, counts[(runs & U64(BUCKETS - 1)).astype(np.int64)], doc))
-    runs, doc, place = runs[order], doc[order], place[order]
-    fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]) if len(runs) else np.zeros(0, bool)
-    runs, doc, place = runs[fresh], doc[fresh], place[fresh]
-    size = np.bincount(doc, minlength=len(of))[doc]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    keep = rank < size - common_at_least(size) + least
-    return of[doc[keep]], place[keep], runs[keep], rank[keep], size[keep]
-
-
-def _passages(texts: list[str], w: Words, rows: np.ndarray, at: np.ndarray, place: np.ndarray) -> list[str]:
-    low = "\0".join(t.lower() for t in texts)
-    return [_passage(low, w, i) for i in (w.first[rows[at]] + place).tolist()]
-
-
-def passages(own: DataFrame, counts: np.ndarray, least: int, answers: bool) -> DataFrame:
-    """(h, key, rank, size, passage): the leading passages of every evaluation text; key is the passage's hash."""
-    shared = own.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
+def stretches(texts: DataFrame, bits: np.ndarray, shards: int) -> DataFrame:
+    """(h, size, sketch, shard, passages) of the training texts: the stretches where passages of a shard may match; no automaton can match elsewhere."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts, w, rows, h in _batches(stream, 0, answers, least):
-            at, place, key, rank, size = leading(w, rows, h, shared.value)
-            columns = [pa.array(h[at].view(np.int64)), pa.array(key.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_passages(texts, w, rows, at, place), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "rank", "size", "passage"])
+        for batch in stream:
+            symbols, doc = as_symbols(batch.column(3))
+            key = passage_keys(symbols)
+            bit = (key & U64(len(shared.value) * 32 - 1)).astype(np.int64)
+            hit = (shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
+            start = np.flatnonzero(hit & (doc[: len(key)] == doc[PASSAGE - 1 :][: len(key)]))
+            yield _by_shard(batch, symbols, start, key[start], doc[start], shards, True)
 
-    return own.where("side = 'eval'").select("t").mapInArrow(run, "h bigint, key bigint, rank int, size int, passage string")
+    return texts.select("h", "size", "sketch", "symbols").mapInArrow(run, "h bigint, size int, sketch binary, shard int, passages string")
 
 
-def key_bits(chosen: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP bits with those of the passages' keys set: bounded, and without false negatives."""
-    bit = F.expr(f"key & {BITMAP - 1}L")
-    rows = chosen.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 31L as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(BITMAP // 32, np.uint32)
-    out[rows.column("word").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
-    return out
+def _columns(x: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, size, sketch as words of 64 bits) of the rows."""
+    return x.column("h").to_numpy(), x.column("size").to_numpy().astype(np.int64), np.frombuffer(b"".join(x.column("sketch").to_pylist()), U64).reshape(-1, ODD // 64)
 
 
-def stretches(own: DataFrame, bits: np.ndarray, counts: np.ndarray, least: int, answers: bool) -> DataFrame:
-    """(t, key, rank, size, passage) of the training texts' leading passages that may match: no automaton can match anywhere else."""
-    shared, sketch = own.sparkSession.sparkContext.broadcast(bits), own.sparkSession.sparkContext.broadcast(counts)
+def scan(chosen: DataFrame, training: DataFrame, parts: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(e, t): evaluation and training classes that share a passage and whose odd sketches differ no more than those of similar texts.
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts, w, rows, h in _batches(stream, 0, answers, least):
-            found = leading(w, rows, h, sketch.value)
-            low_bits = (found[2] & U64(BITMAP - 1)).astype(np.int64)
-            hit = (shared.value[low_bits >> 5] >> (low_bits & 31).astype(np.uint32)) & np.uint32(1) == 1
-            # a text with fewer matches than any similar one has is left out
-            hits = np.bincount(found[0], weights=hit, minlength=len(h))[found[0]]
-            at, place, key, rank, size = (x[hit & (hits >= np.minimum(LEAST, common_at_least(found[4])))] for x in found)
-            columns = [pa.array(h[at].view(np.int64)), pa.array(key.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_passages(texts, w, rows, at, place), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "rank", "size", "passage"])
-
-    return own.where("side = 'train'").select("t").mapInArrow(run, "t bigint, key bigint, rank int, size int, passage string")
-
-
-def scan(chosen: DataFrame, training: DataFrame, shards: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(e, t): evaluation and training classes with as many matched passages as similar ones have.
-
-    Passages and stretches meet in the shard of their key; the automaton of each shard scans the stretches that came there,
-    and the number of passages a shard is bounded. Texts of sizes a and b share m >= threshold / (1 + threshold) (a + b) passages if they are
-    similar; a match counts only where it can be among the first ``LEAST`` shared ones: its rank is under a - m + LEAST and b - m + LEAST.
-    Each key is in one shard, so the shards' numbers of matches add up.
+    Passages and stretches meet in the shard of their key, where an automaton of the passages scans the stretches; the training texts of a shard are divided into
+    ``parts``, so that a task has a bounded number of passages and of texts. Owners of a passage are compared in blocks: no task holds all pairs.
     """
-    left = chosen.withColumn("shard", F.pmod("key", F.lit(shards)))
-    right = training.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key")
-
-    def run(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"e": [], "t": [], "n": [], "least": []})
-        own, texts = own.drop_duplicates(["h", "passage"]), texts.drop_duplicates(["t", "passage"])  # copies in other batches
-        if own.empty or texts.empty:
-            return empty
-        number = own["passage"].factorize()[0]
-        order = np.argsort(number, kind="stable")
-        bounds = np.searchsorted(number[order], np.arange(number.max() + 2))
-        who, rank, size = (own[c].to_numpy()[order] for c in ("h", "rank", "size"))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p, k in zip(own["passage"], number.tolist()):
-            automaton.add_word(p, k)
-        automaton.make_automaton()
-        hits = [(i, k) for i, s in enumerate(texts["passage"]) for _, k in automaton.iter(s)]
-        if not hits:
-            return empty
-        every, found = np.array(hits, np.int64).T, []
-        n = bounds[every[1] + 1] - bounds[every[1]]
-        for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) // 1_000_000)):
-            (i, k), m = every[:, part], n[part]
-            at = np.repeat(bounds[k] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            i = np.repeat(i, m)
-            a, b, x, y = size[at], texts["size"].to_numpy()[i], rank[at], texts["rank"].to_numpy()[i]
-            common = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
-            keep = np.flatnonzero((x < a - common + LEAST) & (y < b - common + LEAST))
-            found.append(pd.DataFrame({"e": who[at[keep]], "t": texts["t"].to_numpy()[i[keep]], "least": np.minimum(LEAST, common[keep])}))
-        return pd.concat(found).groupby(["e", "t", "least"], sort=False).size().reset_index(name="n")
-
-    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(run, "e bigint, t bigint, n bigint, least bigint")
-    return found.groupBy("e", "t").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("e", "t")
+    part = F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")
+    left = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = training.withColumn("part", part)
+
+    def run(own: pa.Table, texts: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if own.num_rows and texts.num_rows:
+            automaton, ids, of = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, []
+            for i, row in enumerate(own.column("passages").to_pylist()):
+                for at in range(0, len(row), PASSAGE):
+                    of.append((ids.setdefault(row[at : at + PASSAGE], len(ids)), i))
+            for passage, k in ids.items():
+                automaton.add_word(passage, k)
+            automaton.make_automaton()
+            number, owner = np.unique(np.array(of, np.int64), axis=0).T
+            first = np.searchsorted(number, np.arange(len(ids) + 1))
+            eh, es, eo = _columns(own)
+            th, ts, to = _columns(texts)
+            scanned = texts.column("passages").to_pylist()
+            for a in range(0, len(scanned), 1000):  # what a few texts hit, then its pairs a million at a time
+                hits = [(i, k) for i in range(a, min(a + 1000, len(scanned))) for k in {k for _, k in automaton.iter(scanned[i])}]
+                text, passage = np.array(hits, np.int64).reshape(-1, 2).T
+                n = first[passage + 1] - first[passage]
+                total = np.cumsum(n)
+                for low in range(0, int(total[-1]) if len(total) else 0, 1_000_000):
+                    high = min(low + 1_000_000, int(total[-1]))
+                    x = slice(int(np.searchsorted(total, low, "right")), int(np.searchsorted(total, high, "left")) + 1)
+                    skipped = np.maximum(low - (total[x] - n[x]), 0)
+                    m = np.minimum(high, total[x]) - (total[x] - n[x]) - skipped
+                    places = np.repeat(first[passage[x]] + skipped - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    e, t = np.divmod(np.unique(owner[places] * len(scanned) + np.repeat(text[x], m)), len(scanned))
+                    keep = np.minimum(es[e], ts[t]) >= threshold * np.maximum(es[e], ts[t]) - 1e-9
+                    e, t = e[keep], t[keep]
+                    keep = np.bitwise_count(eo[e] ^ to[t]).sum(axis=1) <= odd_limit(es[e] + ts[t], threshold)
+                    found.append((eh[e[keep]], th[t[keep]]))
+        e, t = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(np.stack([e, t], axis=1), axis=0)
+        return pa.table({"e": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1])})
+
+    met = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(run, "e bigint, t bigint")
+    return met.distinct()
 
 
 def similar(pairs: DataFrame, members: DataFrame, own: DataFrame, answers: bool, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,11 +379,13 @@ def text_links(df: DataFrame, key: str, text: str, split: str, loaded: str, leas
     Null and short texts, null keys and unknown splits take no part.
     """
     own = df.select(F.col(key).cast("string").alias("id"), side(F.col(split)).alias("side"), F.col(loaded).cast("timestamp").alias("loaded_at"), F.col(text).alias("t")).where("id is not null and side is not null").where(F.length("t") >= 2 * least - 1)
-    members = cut_lineage(text_members(own, least, answers))
-    counts = passage_counts(own, least, answers)
-    chosen = cut_lineage(passages(own, counts, least, answers))
-    shards = max(1, -(-chosen.count() // SHARD))
-    close = scan(chosen, stretches(own, key_bits(chosen), counts, least, answers), shards)
+    read = cut_lineage(read_texts(own, least, answers))
+    members = cut_lineage(text_members(read))
+    of = lambda who: read.where((F.col("side") == who) & F.col("symbols").isNotNull())
+    counts, passages = passage_counts(of("eval"))
+    shards, parts = max(1, -(-passages // SHARD)), max(1, -(-of("train").count() // ROWS))
+    chosen = cut_lineage(chosen_passages(of("eval"), counts, shards))
+    close = scan(chosen, stretches(of("train"), key_bits(chosen, passages), shards), parts)
     return similar(close, members, own, answers), members
 
 
@@ -349,8 +434,11 @@ def picture_keys(df: DataFrame, key: str, image: str, split: str, loaded: str) -
             parts = [_signature([small[i] for i in rows[at : at + 256]], where, limits, weights) for at in range(0, len(rows), 256)]
             keys, h = (np.concatenate(x) for x in zip(*parts))
             take = pa.array(rows)
+            sides = np.array(batch.column(1).to_pylist(), dtype=object)[rows] == "eval"
+            first = np.zeros(len(h), bool)
+            first[np.unique(mix(h ^ sides.astype(U64)), return_index=True)[1]] = True  # of equal pictures in a batch one has keys
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * GROUPS), pa.array(keys.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), lists, batch.column(3).take(take)], names=["id", "side", "h", "keys", "loaded_at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), lists.take(pa.array(np.arange(len(h)), mask=~first)), batch.column(3).take(take)], names=["id", "side", "h", "keys", "loaded_at"])
 
     own = df.select(F.col(key).cast("string").alias("id"), side(F.col(split)).alias("side"), F.col(f"{image}.bytes").alias("b"), F.col(loaded).cast("timestamp").alias("loaded_at")).where("id is not null and side is not null and b is not null")
     return own.mapInArrow(run, "id string, side string, h bigint, keys array<bigint>, loaded_at timestamp")
@@ -371,15 +459,22 @@ def same_pictures(pairs: DataFrame, df: DataFrame, key: str, image: str, most: f
     return joined.select("e", "t", "ba", "bb").mapInArrow(run, "e bigint, t bigint")
 
 
+def met(e: DataFrame, t: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(e, t) of the rows of either side with equal k. The right rows of a k are divided into blocks of about ``block``, and every left row meets each block, so that no task has all of a hot k."""
+    blocks = t.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    left = e.join(blocks, "k").select("k", "e", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
+    right = t.join(blocks.where("__n > 1"), "k", "left").select("k", "t", F.pmod(F.xxhash64("t"), F.coalesce("__n", F.lit(1))).cast("int").alias("__b"))
+    return left.join(right, ["k", "__b"]).select("e", "t")
+
+
 def picture_links(df: DataFrame, key: str, image: str, split: str, loaded: str) -> tuple[DataFrame, DataFrame]:
     """(links, members) as of texts, with no covered share: pictures that are the same or almost; those that don't decode take no part."""
     keyed = cut_lineage(picture_keys(df, key, image, split, loaded))
     order = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "h")
     members = cut_lineage(keyed.groupBy("id").agg(F.max_by(F.struct("side", "h"), order).alias("x")).select("id", "x.*"))
-    exploded = keyed.select("side", "h", F.explode("keys").alias("k"))
-    e = exploded.where("side = 'eval'").select("k", F.col("h").alias("e"))
-    t = exploded.where("side = 'train'").select("k", F.col("h").alias("t"))
-    pairs = e.join(t, "k").select("e", "t").distinct()
+    classes = keyed.where("keys is not null").groupBy("side", "h").agg(F.first("keys").alias("keys"))  # equal pictures have equal keys
+    bits = lambda who, c: classes.where(F.col("side") == who).select(F.explode("keys").alias("k"), F.col("h").alias(c))
+    pairs = met(bits("eval", "e"), cut_lineage(bits("train", "t"))).distinct()
     reps = members.groupBy("side", "h").agg(F.min("id").alias("id"))
     rep = lambda who, c: reps.where(F.col("side") == who).select(F.col("h").alias(c), F.col("id").alias(f"r{c}"))
     pairs = cut_lineage(pairs.join(rep("eval", "e"), "e").join(rep("train", "t"), "t"))
