@@ -30,10 +30,12 @@ DEFAULT = EngineConfig()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's own setting, else a temporary one (local runs)."""
+    """The folder that all executors share: the cluster's own setting. Only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not set_by_cluster and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(set_by_cluster or tempfile.mkdtemp(prefix="auditloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,7 +46,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, so that later branches read it again instead of recomputing it.
 
-    The table is columnar and compressed, and its size is known to the planner. It is removed when Python ends.
+    The table is columnar and compressed, and its size is known to the planner. ``release`` removes it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
@@ -54,8 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def release() -> None:
+    """Delete the tables written so far. Call it when the results of a query have been read, or else it is done when Python ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

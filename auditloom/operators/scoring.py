@@ -8,44 +8,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.config import DEFAULT
+from auditloom.config import DEFAULT, cut_lineage
 from auditloom.functions.text import words
 
 MODELS = ("base1", "ft1", "base2", "ft2")
 
 
-def tokens(df: DataFrame, keys: list[str], text: str = "text", most: int = DEFAULT.max_tokens) -> DataFrame:
-    """(keys, pos, token, prev): the first ``most`` words of each text; prev of the first is <s>."""
-    cut = df.select(*keys, F.slice(words(text), 1, most).alias("__w"))
+def tokens(df: DataFrame, keys: list[str], text: str = "text", most: int | None = DEFAULT.max_tokens) -> DataFrame:
+    """(keys, pos, token, prev): the first ``most`` words of each text (None: all); prev of the first is <s>."""
+    every = words(text)
+    cut = df.select(*keys, (every if most is None else F.slice(every, 1, most)).alias("__w"))
     out = cut.select(*keys, "__w", F.posexplode("__w").alias("pos", "token"))
     return out.select(*keys, "pos", "token", F.when(F.col("pos") == 0, F.lit("<s>")).otherwise(F.get("__w", F.col("pos") - 1)).alias("prev"))
 
 
 class NGramScorer:
-    """Unigram (1) and bigram (2) models of a base corpus (base) and of the base corpus with the members (ft).
+    """Unigram (1) and bigram (2) models of a base corpus (base) and of the base corpus with the members (ft), counted over whole texts.
 
-    log p = ln((c(prev, w) + alpha) / (c(prev) + alpha V)); V: distinct words of all corpora together.
+    log p = ln((c(prev, w) + alpha) / (c(prev) + alpha V)); V: distinct words of all corpora together. The bigram counts are written once; the unigram
+    and context counts come from them. Only different (prev, token) pairs meet the counts, so texts' tokens are joined once, with finished values.
     """
 
     def __init__(self, base: DataFrame, members: DataFrame, everything: DataFrame, alpha: float = 0.1, text: str = "text"):
         self.alpha = alpha
         both = base.select(F.lit(0).alias("m"), F.col(text).alias("text")).unionByName(members.select(F.lit(1).alias("m"), F.col(text).alias("text")))
-        seen = tokens(both, ["m"])
         count = lambda who: F.sum(F.when(F.col("m") <= who, 1).otherwise(0))
-        self.bigrams = seen.groupBy("prev", "token").agg(count(0).alias("cb"), count(1).alias("cf"))
+        self.bigrams = cut_lineage(tokens(both, ["m"], most=None).groupBy("prev", "token").agg(count(0).alias("cb"), count(1).alias("cf")))
         self.unigrams = self.bigrams.groupBy("token").agg(F.sum("cb").alias("ub"), F.sum("cf").alias("uf"))
         self.contexts = self.bigrams.groupBy("prev").agg(F.sum("cb").alias("pb"), F.sum("cf").alias("pf"))
-        self.totals = self.unigrams.agg(F.sum("ub").alias("nb"), F.sum("uf").alias("nf"))
-        vocabulary = tokens(everything, [], text).select("token").union(seen.select("token"))
-        self.size = vocabulary.agg(F.countDistinct("token").alias("v"))
+        vocabulary = everything.select(F.explode(words(text)).alias("token")).distinct().union(self.bigrams.select("token").distinct())
+        self.totals = self.bigrams.agg(F.sum("cb").alias("nb"), F.sum("cf").alias("nf")).crossJoin(vocabulary.agg(F.countDistinct("token").alias("v")))  # one row
 
-    def score(self, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-        """(keys, pos, token, logp_<model> of the four models) of every token."""
-        one = F.broadcast(self.totals.crossJoin(self.size))  # one row of totals
-        t = tokens(df, keys, text).join(self.bigrams, ["prev", "token"], "left").join(self.unigrams, "token", "left").join(self.contexts, "prev", "left").join(one)
+    def priced(self, pairs: DataFrame) -> DataFrame:
+        """(prev, token, logp_<model> of the four models) of different pairs; those not seen in the corpus too."""
+        t = pairs.join(self.bigrams, ["prev", "token"], "left").join(self.unigrams, "token", "left").join(self.contexts, "prev", "left").join(F.broadcast(self.totals))
         a = F.lit(self.alpha)
         lp = lambda c, n: F.log((F.coalesce(F.col(c), F.lit(0)) + a) / (F.coalesce(F.col(n), F.lit(0)) + a * F.col("v")))
-        return t.select(*keys, "pos", "token", lp("ub", "nb").alias("logp_base1"), lp("uf", "nf").alias("logp_ft1"), lp("cb", "pb").alias("logp_base2"), lp("cf", "pf").alias("logp_ft2"))
+        return t.select("prev", "token", lp("ub", "nb").alias("logp_base1"), lp("uf", "nf").alias("logp_ft1"), lp("cb", "pb").alias("logp_base2"), lp("cf", "pf").alias("logp_ft2"))
+
+    def score(self, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+        """(keys, pos, token, logp_<model> of the four models) of every token."""
+        t = tokens(df, keys, text)
+        return t.join(self.priced(t.select("prev", "token").distinct()), ["prev", "token"]).select(*keys, "pos", "token", *[f"logp_{m}" for m in MODELS])
+
+    def variant_losses(self, df: DataFrame, key: str, variants: list[tuple[str, int]], kind: str = "kind", no: str = "no", text: str = "text") -> DataFrame:
+        """(key, kind, no, loss_<model> ...) of the mean losses of every key's variants.
+
+        Variants of a text share most of their pairs of words: each pair of a key is counted for all its variants before it is shuffled, and is priced once. Texts
+        without words have no row.
+        """
+        t = tokens(df.select(key, kind, no, text), [key, kind, no], text)
+        n = [F.sum(F.when((F.col(kind) == k) & (F.col(no) == i), 1).otherwise(0)).alias(f"__{j}") for j, (k, i) in enumerate(variants)]
+        counted = cut_lineage(t.groupBy(key, "prev", "token").agg(*n))
+        priced = counted.join(self.priced(counted.select("prev", "token").distinct()), ["prev", "token"])
+        total = [F.sum(F.col(f"__{j}")).alias(f"__n{j}") for j in range(len(variants))]
+        total += [F.sum(-F.col(f"__{j}") * F.col(f"logp_{m}")).alias(f"__{j}_{m}") for j in range(len(variants)) for m in MODELS]
+        wide = priced.groupBy(key).agg(*total)
+        rows = [F.struct(F.lit(k).alias(kind), F.lit(i).alias(no), *[F.try_divide(F.col(f"__{j}_{m}"), F.col(f"__n{j}")).alias(f"loss_{m}") for m in MODELS]) for j, (k, i) in enumerate(variants)]
+        return wide.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*").where(F.col(f"loss_{MODELS[0]}").isNotNull())
 
 
 class PandasScorer:
@@ -67,5 +87,3 @@ class PandasScorer:
                 yield fn(batch).rename(columns={"logp": f"logp_{name}"})
 
         return df.select(*keys, text).mapInPandas(run, schema)
-
-

@@ -28,7 +28,7 @@ def sequence_stats(scored: DataFrame, keys: list[str], logp: str, percent: int =
         F.count("*").alias("num_tokens"),
         F.sort_array(F.collect_list(logp)).alias("__a"),
     )
-    return out.select(*keys, "loss", F.exp(F.least("loss", F.lit(700.0))).alias("perplexity"), F.exp(F.least("loss", F.lit(100.0))).alias("perplexity_clamped"), min_k(F.col("__a"), percent).alias("min_k_prob"), (-min_k(F.col("__a"), percent)).alias("min_k_loss"), "max_token_loss", "std_token_loss", "std_token_loss_pop", "num_tokens")
+    return out.select(*keys, "loss", F.exp("loss").alias("perplexity"), F.exp(F.least("loss", F.lit(100.0))).alias("perplexity_clamped"), min_k(F.col("__a"), percent).alias("min_k_prob"), (-min_k(F.col("__a"), percent)).alias("min_k_loss"), "max_token_loss", "std_token_loss", "std_token_loss_pop", "num_tokens")
 
 
 def losses(scored: DataFrame, keys: list[str], models: tuple[str, ...]) -> DataFrame:

@@ -15,7 +15,7 @@ from auditloom.functions import similarity as G
 from auditloom.functions import text as P
 from auditloom.operators import evaluate, features, models, scoring, sinks, tokenstats, variants
 from auditloom.sources.images import decode
-from auditloom.sources.tables import latest_delivery, read_table
+from auditloom.sources.tables import latest_delivery, read_table, spread
 from auditloom.streaming.scores import windowed_losses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,26 +43,29 @@ def w(t: str) -> str:
 
 
 def kept_sql(words: str) -> str:
-    ranked = f"list_sort(list_transform({words}, lambda x, i: {{'h': md5(concat_ws('-', id, no, i - 1)), 'i': i, 'w': x}}))"
+    x = f"(({SEED} + (i - 1) * {variants.STEP}) % {variants.PRIME})"
+    ranked = f"list_sort(list_transform({words}, lambda x, i: {{'h': {x} * {x} % {variants.PRIME}, 'i': i, 'w': x}}))"
     left = f"list_slice({ranked}, greatest(1, len({words}) * 10 // 100) + 1, len({words}))"
     return f"array_to_string(list_transform(list_sort(list_transform({left}, lambda y: {{'i': y.i, 'w': y.w}})), lambda z: z.w), ' ')"
 
 
+SEED = f"(('0x' || substr(md5(concat_ws('-', id, no)), 1, 8))::BIGINT % {variants.PRIME})"
 DROPS = f"d AS (SELECT id, no, CASE WHEN len(ws) < 5 THEN text ELSE {kept_sql('ws')} END AS text FROM (SELECT id, text, {w('text')} AS ws, unnest(range(5)) AS no FROM s WHERE text IS NOT NULL))"
 VARIANTS = "v AS (SELECT id, 'orig' AS kind, 0 AS no, text FROM s WHERE text IS NOT NULL UNION ALL SELECT id, 'lower', 0, lower(text) FROM s WHERE text IS NOT NULL UNION ALL SELECT id, 'drop', no, text FROM d)"
 
 
-def token_sql(name: str, source: str, keys: str) -> str:
-    return f"{name} AS (SELECT {keys}, unnest(ws) AS token, unnest(range(len(ws))) AS pos, unnest(list_concat(['<s>'], list_slice(ws, 1, len(ws) - 1))) AS prev FROM (SELECT {keys}, list_slice({w('text')}, 1, 1024) AS ws FROM {source}) WHERE len(ws) > 0)"
+def token_sql(name: str, source: str, keys: str, most: int | None = 1024) -> str:
+    ws = f"list_slice({w('text')}, 1, {most})" if most else w("text")
+    return f"{name} AS (SELECT {keys}, unnest(ws) AS token, unnest(range(len(ws))) AS pos, unnest(list_concat(['<s>'], list_slice(ws, 1, len(ws) - 1))) AS prev FROM (SELECT {keys}, {ws} AS ws FROM {source}) WHERE len(ws) > 0)"
 
 
 LM = (
     "c AS (SELECT 0 AS m, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 0, text FROM control_items WHERE text IS NOT NULL UNION ALL SELECT 1, text FROM s WHERE is_member = 1 AND text IS NOT NULL), "
-    + token_sql("ct", "c", "m")
+    + token_sql("ct", "c", "m", None)
     + ", bg AS (SELECT prev, token, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) AS cb, count(*) AS cf FROM ct GROUP BY ALL)"
     + ", ug AS (SELECT token, sum(cb) AS ub, sum(cf) AS uf FROM bg GROUP BY ALL), pc AS (SELECT prev, sum(cb) AS pb, sum(cf) AS pf FROM bg GROUP BY ALL)"
     + ", tn AS (SELECT sum(ub) AS nb, sum(uf) AS nf FROM ug), "
-    + token_sql("et", "s", "id")
+    + token_sql("et", "s", "id", None)
     + ", vs AS (SELECT count(DISTINCT token) AS v FROM (SELECT token FROM et UNION ALL SELECT token FROM ct))"
 )
 
@@ -116,12 +119,13 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scorer(spark: SparkSession, folder: str, own: DataFrame) -> scoring.NGramScorer:
-    base = read_table(spark, folder, "documents").select("text").unionByName(read_table(spark, folder, "control_items").select("text")).where("text is not null")
+    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id", scan=True)
+    base = documents.select("text").unionByName(read_table(spark, folder, "control_items").select("text")).where("text is not null")
     return scoring.NGramScorer(base, own.where("is_member = 1 and text is not null"), own.where("text is not null"))
 
 
 def all_variants(own: DataFrame) -> DataFrame:
-    own = own.where("text is not null")
+    own = spread(own.where("text is not null"), "id")
     columns = ("id", "kind", "no", "text")
     orig = own.select("id", F.lit("orig").alias("kind"), F.lit(0).alias("no"), "text")
     lower = variants.lowercase(own).withColumn("kind", F.lit("lower")).withColumnRenamed("variant_no", "no").select(*columns)
@@ -131,13 +135,13 @@ def all_variants(own: DataFrame) -> DataFrame:
 
 def scored_originals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     own = samples(spark, folder)
-    return own, scorer(spark, folder, own).score(own.where("text is not null"), ["id"])
+    return own, scorer(spark, folder, own).score(spread(own.where("text is not null"), "id"), ["id"])
 
 
 def variant_losses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     own = samples(spark, folder)
-    scored = scorer(spark, folder, own).score(all_variants(own), ["id", "kind", "no"])
-    return own, tokenstats.losses(scored, ["id", "kind", "no"], scoring.MODELS)
+    kinds = [("orig", 0), ("lower", 0), *[("drop", i) for i in range(DEFAULT.neighbours)]]
+    return own, scorer(spark, folder, own).variant_losses(all_variants(own), "id", kinds)
 
 
 # ---- inspection
@@ -240,7 +244,7 @@ def lowercase_variant(spark: SparkSession, folder: str) -> DataFrame:
 @query("token_drop_neighbors", with_(S, DROPS) + "SELECT id, no AS variant_no, text FROM d")
 def token_drop_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """V1."""
-    return variants.token_drops(samples(spark, folder).where("text is not null")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
+    return variants.token_drops(spread(samples(spark, folder).where("text is not null"), "id")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
 
 
 _ADROP = f"d AS (SELECT id, no, CASE WHEN len(ws) < 5 THEN text ELSE qq || {NL} || {kept_sql('ws')} END AS text FROM (SELECT id, text, qq, {w('aa')} AS ws, unnest(range(5)) AS no FROM (SELECT id, text, {QUESTION} AS qq, {ANSWER.replace('{other}', chr(39) * 2)} AS aa FROM q WHERE text IS NOT NULL)))"
@@ -249,7 +253,7 @@ _ADROP = f"d AS (SELECT id, no, CASE WHEN len(ws) < 5 THEN text ELSE qq || {NL}
 @query("answer_drop_neighbors", with_(Q, _ADROP) + "SELECT id, no AS variant_no, text FROM d")
 def answer_drop_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """V2."""
-    return variants.answer_drops(pairs(spark, folder).where("text is not null")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
+    return variants.answer_drops(spread(pairs(spark, folder).where("text is not null"), "id")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
 
 
 NEGATIVES = (
@@ -301,7 +305,7 @@ _SEVEN = ("loss", "perplexity", "perplexity_clamped", "min_k_prob", "min_k_loss"
 @query(
     "token_stats",
     with_(S, LM, ORIG, SCORED)
-    + f"SELECT id, n AS num_tokens, {r6_sql(*_SEVEN)} FROM (SELECT id, n, loss_ft2 AS loss, exp(least(loss_ft2, 700)) AS perplexity, exp(least(loss_ft2, 100)) AS perplexity_clamped, {MINK.replace('{m}', 'ft2')} AS min_k_prob, -({MINK.replace('{m}', 'ft2')}) AS min_k_loss, max_ft2 AS max_token_loss, std_ft2 AS std_token_loss, pstd_ft2 AS std_token_loss_pop FROM (SELECT id, count(*) AS n, {STATS} FROM sc GROUP BY id))",
+    + f"SELECT id, n AS num_tokens, {r6_sql(*_SEVEN)} FROM (SELECT id, n, loss_ft2 AS loss, exp(loss_ft2) AS perplexity, exp(least(loss_ft2, 100)) AS perplexity_clamped, {MINK.replace('{m}', 'ft2')} AS min_k_prob, -({MINK.replace('{m}', 'ft2')}) AS min_k_loss, max_ft2 AS max_token_loss, std_ft2 AS std_token_loss, pstd_ft2 AS std_token_loss_pop FROM (SELECT id, count(*) AS n, {STATS} FROM sc GROUP BY id))",
 )
 def token_stats(spark: SparkSession, folder: str) -> DataFrame:
     """T1-T9."""
@@ -380,7 +384,7 @@ def three_layer_scores(spark: SparkSession, folder: str) -> DataFrame:
     own = samples(spark, folder).where("text is not null")
     other = variants.caption_negatives(own).select("id", F.lit("other").alias("kind"), F.col("variant_no").alias("no"), "text")
     every = own.select("id", F.lit("orig").alias("kind"), F.lit(0).alias("no"), "text").unionByName(other)
-    loss = tokenstats.losses(scorer(spark, folder, samples(spark, folder)).score(every, ["id", "kind", "no"]), ["id", "kind", "no"], ("base2", "ft2"))
+    loss = scorer(spark, folder, samples(spark, folder)).variant_losses(every, "id", [("orig", 0), *[("other", i) for i in range(DEFAULT.negatives)]])
     one = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     wide = loss.groupBy("id").agg(one("orig", "loss_base2").alias("base"), one("orig", "loss_ft2").alias("ft"), F.avg(F.when(F.col("kind") == "other", F.col("loss_ft2"))).alias("other")).where("ft is not null")
     return wide.select("id", F.round(features.three_layer_ratio("base", "ft"), 6).alias("loss_ratio"), F.round(features.contrast(F.col("other"), F.col("ft")), 6).alias("caption_contrast"))
@@ -388,15 +392,18 @@ def three_layer_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- cached features
 
-LF = "lf AS (SELECT id, model, max(loss) AS loss, max(min_k_prob) AS min_k, max(perplexity) AS perplexity, max(max_token_loss) AS mx, max(std_token_loss) AS sd, max(zlib_ratio) AS zl, max(is_member) AS is_member FROM loss_features WHERE id IS NOT NULL AND loss IS NOT NULL AND NOT isnan(loss) GROUP BY id, model)"
+LF = "lf AS (SELECT id, model, loss, min_k_prob AS min_k, perplexity, max_token_loss AS mx, std_token_loss AS sd, zlib_ratio AS zl, is_member FROM (SELECT *, row_number() OVER (PARTITION BY id, model ORDER BY loaded_at DESC NULLS LAST, scored_at DESC NULLS LAST, batch_no DESC NULLS LAST, row_no DESC NULLS LAST, loss DESC) AS rn FROM loss_features WHERE id IS NOT NULL AND isfinite(loss)) WHERE rn = 1)"
 _LF = {"loss": "loss", "min_k": "min_k_prob", "perplexity": "perplexity", "mx": "max_token_loss", "sd": "std_token_loss", "zl": "zlib_ratio"}
 MODEL_NAMES = ("ft1", "ft2", "base1", "base2")
 
 
 def loss_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """One row an id and model of the cached losses. The greatest value stands for repeated scorings, so one combining pass is enough."""
-    d = read_table(spark, folder, "loss_features").select("id", "model", "is_member", *_LF.values()).where("id is not null and loss is not null and not isnan(loss)")
-    return d.groupBy("id", "model").agg(*[F.max(v).alias(k) for k, v in _LF.items()], F.max("is_member").alias("is_member"))
+    """One row an id and model of the cached losses: the row loaded, then scored last. ``max_by`` combines before the shuffle, so the control item that every batch scores costs one row a task."""
+    times = ("loaded_at", "scored_at", "batch_no", "row_no")
+    d = read_table(spark, folder, "loss_features").select("id", "model", "is_member", *times, *_LF.values()).where("id is not null and loss is not null and not isnan(loss) and abs(loss) < double('Infinity')")
+    order = F.struct(*[x for c in times for x in (F.col(c).isNotNull(), F.col(c))], "loss")
+    own = F.struct(*[F.col(v).alias(k) for k, v in _LF.items()], "is_member")
+    return d.groupBy("id", "model").agg(F.max_by(own, order).alias("x")).select("id", "model", "x.*")
 
 
 @query("loss_pivot", with_(LF) + "SELECT id, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN loss END), 6) AS loss_{m}" for m in MODEL_NAMES) + " FROM lf GROUP BY id")
@@ -405,11 +412,11 @@ def loss_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return features.pivot_models(loss_cache(spark, folder), "id", "model", ["loss"], MODEL_NAMES).select("id", *r6(*[f"loss_{m}" for m in MODEL_NAMES]))
 
 
-_LIRA = ("loss_ratio", "loss_diff", "min_k_diff", "max_loss_diff", "std_loss_diff", "zlib_ratio_diff", "norm_loss_improvement")
+_LIRA = ("loss_ratio", "loss_diff", "min_k_diff", "perplexity_ratio", "max_loss_diff", "std_loss_diff", "zlib_ratio_diff", "norm_loss_improvement")
 _PV = "pv AS (SELECT id, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN {c} END) AS {c}_{m}" for m in ("ft1", "base1") for c in _LF) + " FROM lf GROUP BY id)"
 
 
-@query("lira_features", with_(LF, _PV) + f"SELECT id, {r6_sql(*_LIRA)} FROM (SELECT id, loss_base1 / (loss_ft1 + 1e-8) AS loss_ratio, loss_base1 - loss_ft1 AS loss_diff, min_k_ft1 - min_k_base1 AS min_k_diff, mx_base1 - mx_ft1 AS max_loss_diff, sd_base1 - sd_ft1 AS std_loss_diff, zl_base1 - zl_ft1 AS zlib_ratio_diff, (loss_base1 - loss_ft1) / (loss_base1 + 1e-8) AS norm_loss_improvement FROM pv WHERE loss_ft1 IS NOT NULL AND loss_base1 IS NOT NULL)")
+@query("lira_features", with_(LF, _PV) + f"SELECT id, {r6_sql(*_LIRA)} FROM (SELECT id, loss_base1 / (loss_ft1 + 1e-8) AS loss_ratio, loss_base1 - loss_ft1 AS loss_diff, min_k_ft1 - min_k_base1 AS min_k_diff, perplexity_base1 / (perplexity_ft1 + 1e-8) AS perplexity_ratio, mx_base1 - mx_ft1 AS max_loss_diff, sd_base1 - sd_ft1 AS std_loss_diff, zl_base1 - zl_ft1 AS zlib_ratio_diff, (loss_base1 - loss_ft1) / (loss_base1 + 1e-8) AS norm_loss_improvement FROM pv WHERE loss_ft1 IS NOT NULL AND loss_base1 IS NOT NULL)")
 def lira_features(spark: SparkSession, folder: str) -> DataFrame:
     """F12."""
     p = features.pivot_models(loss_cache(spark, folder), "id", "model", list(_LF), ("ft1", "base1")).where("loss_ft1 is not null and loss_base1 is not null")
@@ -424,7 +431,7 @@ NB17 = ("loss_ft", "loss_base", "ref_diff", "ref_ratio", "text_nb_gap_ft", "text
 
 
 def clean_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL OR isnan({c}::DOUBLE) OR isinf({c}::DOUBLE) THEN 0 ELSE {c} END::DOUBLE"
+    return f"CASE WHEN {c} IS NULL OR NOT isfinite({c}::DOUBLE) THEN 0 ELSE {c} END::DOUBLE"  # isnan is answered from the file's statistics, which leave NaN out
 
 
 def cached_table(spark: SparkSession, folder: str, name: str, columns: tuple[str, ...]) -> DataFrame:
@@ -479,7 +486,7 @@ def score_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def roc_sql(source: str, group: str, score: str, label: str) -> str:
-    return f"g AS (SELECT {group} AS grp, {score} AS score, count(*) FILTER ({label} = 1) AS pos, count(*) FILTER ({label} <> 1) AS neg FROM {source} WHERE {label} IS NOT NULL AND {score} IS NOT NULL AND NOT isnan({score}::DOUBLE) GROUP BY ALL), rp AS (SELECT grp, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY grp) AS n_pos, sum(neg) OVER (PARTITION BY grp) AS n_neg FROM g WINDOW w AS (PARTITION BY grp ORDER BY score DESC))"
+    return f"g AS (SELECT {group} AS grp, {score} AS score, count(*) FILTER ({label} = 1) AS pos, count(*) FILTER ({label} <> 1) AS neg FROM {source} WHERE {label} IS NOT NULL AND {score} IS NOT NULL AND (isfinite({score}::DOUBLE) OR isinf({score}::DOUBLE)) GROUP BY ALL), rp AS (SELECT grp, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY grp) AS n_pos, sum(neg) OVER (PARTITION BY grp) AS n_neg FROM g WINDOW w AS (PARTITION BY grp ORDER BY score DESC))"
 
 
 METRICS = "mx AS (SELECT grp, CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN sum(pos * (n_neg - fp + neg / 2.0::DOUBLE)) / (max(n_pos) * max(n_neg)::DOUBLE) END AS auc, coalesce(max(CASE WHEN fp <= 0.1::DOUBLE * n_neg AND n_pos > 0 THEN tp::DOUBLE / n_pos END), 0) AS tpr_at_fpr FROM rp GROUP BY grp)"
@@ -524,7 +531,7 @@ def accuracy_at_half(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.accuracy_at_half(t, "clip_img_text_sim", "is_member").select(*r6("accuracy"))
 
 
-@query("late_loss_windows", "SELECT epoch(time_bucket(INTERVAL '7 days', scored_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'))::BIGINT AS week, model, count(*) AS n, round(avg(loss), 6) AS mean_loss FROM (SELECT DISTINCT row_no, batch_no, scored_at, model, loss FROM loss_features WHERE loss IS NOT NULL AND NOT isnan(loss)) GROUP BY ALL")
+@query("late_loss_windows", "SELECT epoch(time_bucket(INTERVAL '7 days', scored_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'))::BIGINT AS week, model, count(*) AS n, round(avg(loss), 6) AS mean_loss FROM (SELECT DISTINCT row_no, batch_no, scored_at, model, loss FROM loss_features WHERE loss IS NOT NULL AND isfinite(loss)) GROUP BY ALL")
 def late_loss_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The streaming aggregation, here over the whole table."""
     d = windowed_losses(read_table(spark, folder, "loss_features").select("row_no", "batch_no", "scored_at", "model", "loss").where("scored_at is not null"))
@@ -533,12 +540,12 @@ def late_loss_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- similarity and embeddings
 
-_HYP = f"h AS (SELECT id, list_slice({w('lower(' + ANSWER.replace('{other}', chr(39) * 2) + ')')}, 1, 60) AS ref, hyp FROM q JOIN (SELECT id, list_slice({w('lower(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE ' + chr(39) * 2 + ' END)')}, 1, 60) AS hyp FROM d WHERE no = 0) USING (id) WHERE text IS NOT NULL)"
+_HYP = f"h AS (SELECT id, {w('lower(' + ANSWER.replace('{other}', chr(39) * 2) + ')')} AS ref, hyp FROM q JOIN (SELECT id, {w('lower(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE ' + chr(39) * 2 + ' END)')} AS hyp FROM d WHERE no = 0) USING (id) WHERE text IS NOT NULL)"
 
 
 def reworded(spark: SparkSession, folder: str) -> DataFrame:
     """(id, ref, hyp): the words of each answer, and of the answer with some dropped; all of them."""
-    own = pairs(spark, folder).where("text is not null")
+    own = spread(pairs(spark, folder).where("text is not null"), "id")
     ws = lambda c: P.words(F.lower(P.answer_or_empty(c)))
     hyp = variants.answer_drops(own, n=1).select("id", ws("text").alias("hyp"))
     return own.select("id", ws("text").alias("ref")).join(hyp, "id")
@@ -579,7 +586,7 @@ def bleu_1_2(spark: SparkSession, folder: str) -> DataFrame:
 @query("generation_consistency")
 def generation_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and population spread of the ROUGE-L of the three pairs of an id's variants."""
-    own = variants.answer_drops(pairs(spark, folder).where("text is not null"), n=3)
+    own = variants.answer_drops(spread(pairs(spark, folder).where("text is not null"), "id"), n=3)
     ws = P.words(F.lower(P.answer_or_empty("text")))
     a = own.select("id", F.col("variant_no").alias("i"), ws.alias("a"))
     both = a.join(own.select("id", F.col("variant_no").alias("j"), ws.alias("b")), "id").where("i < j")

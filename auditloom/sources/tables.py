@@ -24,6 +24,17 @@ def latest_delivery(df: DataFrame, key: str = "id", by: str = "loaded_at", colum
     return best.select(key, *[F.col("__r").getField(c).alias(c) for c in rest])
 
 
+def spread(df: DataFrame, key: str, scan: bool = False) -> DataFrame:
+    """df over at least as many tasks as there are cores, by key: for stages whose work a byte is large, which a planner that goes by bytes gives to a few tasks.
+
+    scan: df only reads a table, and stays as it is if that has tasks enough.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if scan and df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n if scan else max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def read_json_cache(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A feature cache of JSON records, with a declared schema so that no pass infers it."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -15,9 +15,9 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, files: int
 def windowed_losses(stream: DataFrame, time: str = "scored_at", late: str = "30 days", width: str = "7 days") -> DataFrame:
     """(window, model, n, mean_loss) of the finite losses by event time; repeated rows within the watermark count once.
 
-    Works on a stream and on a table. Null and NaN losses take no part; rows later than the watermark drop out of a stream.
+    Works on a stream and on a table. Null, NaN and infinite losses take no part; rows later than the watermark drop out of a stream.
     """
-    own = stream.where(F.col("loss").isNotNull() & ~F.isnan("loss")).withWatermark(time, late).dropDuplicates(["row_no", "batch_no", time])
+    own = stream.where(F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < float("inf"))).withWatermark(time, late).dropDuplicates(["row_no", "batch_no", time])
     return own.groupBy(F.window(time, width), "model").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"))
 
 
