@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,15 +14,23 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def ngrams(a: Column, n: int) -> Column:
-    if n == 1:
-        return a
-    return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def common_ngrams(a: Column, b: Column, n: int) -> Column:
+    """Number of common runs of n words of two array columns, each at most as often as in either; null if either is null.
+
+    One Arrow function: an array expression counts each run anew for every run.
+    """
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        grams = lambda w: Counter(zip(*(w[i:] for i in range(n))))
+        return pd.Series([None if p is None or q is None else (grams(list(p)) & grams(list(q))).total() for p, q in zip(x, y)], dtype="Int32")
+
+    return run(a, b)
 
 
-def clipped(a: Column, b: Column) -> Column:
-    """Number of common elements, each at most as often as in either array."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
+def runs_of(a: Column, n: int) -> Column:
+    """Number of runs of n words."""
+    return F.greatest(F.size(a) - (n - 1), F.lit(0))
 
 
 def f1(common: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -29,8 +39,7 @@ def f1(common: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 def rouge_n(ref: Column, hyp: Column, n: int) -> Column:
     """F1 of the clipped n-gram overlap."""
-    a, b = ngrams(ref, n), ngrams(hyp, n)
-    return f1(clipped(a, b), F.size(a), F.size(b))
+    return f1(common_ngrams(ref, hyp, n), runs_of(ref, n), runs_of(hyp, n))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -63,10 +72,8 @@ def rouge_l(ref: str, hyp: str) -> Column:
 
 def bleu(ref: Column, hyp: Column, n: int) -> Column:
     """Sentence BLEU with equal weights up to n; a zero count of n-grams counts 0.1; 0 without a common word."""
-    logs = F.lit(0.0)
+    logs, common = F.lit(0.0), {k: common_ngrams(hyp, ref, k) for k in range(1, n + 1)}
     for k in range(1, n + 1):
-        total = F.greatest(F.size(ngrams(hyp, k)), F.lit(1))
-        common = clipped(ngrams(hyp, k), ngrams(ref, k))
-        logs = logs + F.log(F.when(common > 0, common.cast("double")).otherwise(F.lit(0.1)) / total) / n
+        logs = logs + F.log(F.when(common[k] > 0, common[k].cast("double")).otherwise(F.lit(0.1)) / F.greatest(runs_of(hyp, k), F.lit(1))) / n
     brevity = F.when(F.size(hyp) > F.size(ref), F.lit(1.0)).otherwise(F.exp(1.0 - F.size(ref) / F.greatest(F.size(hyp), F.lit(1))))
-    return F.when((F.size(ref) > 0) & (F.size(hyp) > 0) & (clipped(hyp, ref) > 0), brevity * F.exp(logs)).otherwise(F.lit(0.0))
+    return F.when((F.size(ref) > 0) & (F.size(hyp) > 0) & (common[1] > 0), brevity * F.exp(logs)).otherwise(F.lit(0.0))

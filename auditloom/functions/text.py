@@ -57,8 +57,8 @@ def unique_ratio(text: Column | str) -> Column:
 
 
 def record_length(*columns: str) -> Column:
-    """Length of the record as JSON."""
-    return F.length(F.to_json(F.struct(*columns)))
+    """Length of the record as JSON, nulls included."""
+    return F.length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
 def joined_length(*columns: str) -> Column:

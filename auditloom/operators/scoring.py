@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.config import DEFAULT, cut_lineage
 from auditloom.functions.text import words
+from auditloom.operators.variants import corrupted, neighbour
+from auditloom.sources.images import decode
 
 MODELS = ("base1", "ft1", "base2", "ft2")
 
@@ -87,3 +91,78 @@ class PandasScorer:
                 yield fn(batch).rename(columns={"logp": f"logp_{name}"})
 
         return df.select(*keys, text).mapInPandas(run, schema)
+
+
+def contrast_losses(pixels: np.ndarray, words_: list[str], model: str) -> np.ndarray:
+    """A fixed scorer of a text with a picture: a word's loss is its length over the picture's contrast (ft) or brightness (base)."""
+    x = pixels.astype(np.float64)
+    return np.array([len(w) for w in words_], np.float64) / (1.0 + (x.std() if model == "ft" else x.mean()) / 64.0)
+
+
+class VisualScorer:
+    """The mean loss of every row's text with its picture, the picture's neighbours and its corruption, under several models.
+
+    load gives fn(pixels, words, model) -> losses of the words, called once a Python worker. Pictures are decoded, and their variants made, once for all
+    models. A picture that doesn't decode and a text without words give no rows.
+    """
+
+    def __init__(self, load: Callable[[], Callable], models: tuple[str, ...]):
+        self.load, self.models = load, models
+
+    def score(self, df: DataFrame, key: str, picture: str, text: str, patch: int = 32, n: int = DEFAULT.neighbours) -> DataFrame:
+        load, models = self.load, self.models
+
+        def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fn = load()
+            for batch in stream:
+                rows = []
+                for k, data, t in zip(batch[key], batch[picture], batch[text]):
+                    pixels, own = decode(data), (t or "").split()
+                    if pixels is None or not own:
+                        continue
+                    seed = zlib.crc32(str(k).encode())
+                    shown = [("orig", 0, pixels), *[("image", i, neighbour(pixels, i, seed, patch)) for i in range(n)], ("corrupt", 0, corrupted(pixels, np.random.default_rng(seed)))]
+                    rows += [(k, kind, no, m, float(np.mean(fn(x, own, m)))) for kind, no, x in shown for m in models]
+                yield pd.DataFrame(rows, columns=[key, "kind", "no", "model", "loss"])
+
+        return df.select(key, picture, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, kind string, no int, model string, loss double")
+
+
+class PandasGenerator:
+    """Texts that a model makes of prompts: (key, no, text), number 0 greedily, the others sampled.
+
+    load gives fn(prompts, no) -> texts, called once a Python worker.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str], int], list[str]]], n: int = 3):
+        self.load, self.n = load, n
+
+    def generate(self, df: DataFrame, key: str, prompt: str) -> DataFrame:
+        load, n = self.load, self.n
+
+        def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fn = load()
+            for batch in stream:
+                for no in range(n):
+                    yield pd.DataFrame({key: batch[key], "no": no, "text": fn(batch[prompt].tolist(), no)})
+
+        return df.select(key, prompt).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, no int, text string")
+
+
+class PandasEmbedder:
+    """(key, embedding) of a column by any encoder, each vector over its length; load gives fn(values) -> array (rows, dimensions)."""
+
+    def __init__(self, load: Callable[[], Callable]):
+        self.load = load
+
+    def embed(self, df: DataFrame, key: str, column: str) -> DataFrame:
+        load = self.load
+
+        def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fn = load()
+            for batch in stream:
+                x = np.asarray(fn(batch[column].tolist()), np.float64)
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                yield pd.DataFrame({key: batch[key], "embedding": list((x / np.where(length > 0, length, 1)).astype(np.float32))})
+
+        return df.select(key, column).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")

@@ -125,10 +125,10 @@ def cropped(x: np.ndarray, rng: np.random.Generator, low: float = 0.7, high: flo
     return resized(x[r : r + h, c : c + w], x.shape[0], x.shape[1])
 
 
-def neighbour(x: np.ndarray, no: int, seed: int) -> np.ndarray:
-    """V8: noise, mask and crop in turn."""
+def neighbour(x: np.ndarray, no: int, seed: int, patch: int = 32) -> np.ndarray:
+    """V8: noise, mask (in a grid of ``patch`` pixels) and crop in turn."""
     rng = np.random.default_rng([seed & 0xFFFFFFFF, no])
-    return (noisy, masked, cropped)[no % 3](x, rng)
+    return masked(x, rng, patch=patch) if no % 3 == 1 else (noisy, None, cropped)[no % 3](x, rng)
 
 
 def blurred(x: np.ndarray, radius: float = 2.0) -> np.ndarray:

@@ -14,7 +14,7 @@ from auditloom.functions import embedding as E
 from auditloom.functions import similarity as G
 from auditloom.functions import text as P
 from auditloom.operators import evaluate, features, models, scoring, sinks, tokenstats, variants
-from auditloom.sources.images import decode
+from auditloom.sources.images import bicubic, decode, decode_or_blank
 from auditloom.sources.tables import latest_delivery, read_table, spread
 from auditloom.streaming.scores import windowed_losses
 
@@ -173,7 +173,7 @@ def sample_preview(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.preview(pairs(spark, folder).withColumn("n_chars", F.length("text")), ["id", "split", "type", "n_chars"], "id")
 
 
-@query("record_lengths")
+@query("record_lengths", with_(S) + "SELECT id, length(to_json({'id': id, 'text': text, 'is_member': is_member, 'split': split, 'source': source})::VARCHAR) AS n_chars FROM s")
 def record_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Length of the JSON record."""
     return samples(spark, folder).select("id", P.record_length("id", "text", "is_member", "split", "source").alias("n_chars"))
@@ -312,11 +312,15 @@ def token_stats(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstats.sequence_stats(scored_originals(spark, folder)[1], ["id"], "logp_ft2").select("id", "num_tokens", *r6(*_SEVEN))
 
 
-@query("answer_only_loss", with_(S, LM, f"v AS (SELECT id, 'orig' AS kind, 0 AS no, text FROM s WHERE text IS NOT NULL)", SCORED, f"st AS (SELECT id, len({w(QUESTION)}) AS start FROM s WHERE text IS NOT NULL)") + "SELECT id, round(coalesce(avg(CASE WHEN pos >= start THEN -logp_ft2 END), avg(-logp_ft2)), 6) AS answer_loss FROM sc JOIN st USING (id) GROUP BY id")
+_PAIRED = "v AS (SELECT id, 'orig' AS kind, 0 AS no, text FROM q WHERE text IS NOT NULL)"
+
+
+@query("answer_only_loss", with_(S, Q, LM, _PAIRED, SCORED, f"st AS (SELECT id, len({w(QUESTION)}) AS start FROM q WHERE text IS NOT NULL)") + "SELECT id, round(coalesce(avg(CASE WHEN pos >= start THEN -logp_ft2 END), avg(-logp_ft2)), 6) AS answer_loss FROM sc JOIN st USING (id) GROUP BY id")
 def answer_only_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """The loss after the first line; of all if there is nothing after it."""
-    own, scored = scored_originals(spark, folder)
-    start = own.where("text is not null").select("id", F.size(P.words(P.question("text"))).alias("start"))
+    """The loss of the pairs' answers; of all if there is nothing after the question."""
+    own = spread(pairs(spark, folder).where("text is not null"), "id")
+    scored = scorer(spark, folder, samples(spark, folder)).score(own, ["id"])
+    start = own.select("id", F.size(P.words(P.question("text"))).alias("start"))
     return tokenstats.answer_loss(scored.join(start, "id"), ["id"], "logp_ft2", "start").select("id", *r6("answer_loss"))
 
 
@@ -571,19 +575,42 @@ def rouge_n(spark: SparkSession, folder: str) -> DataFrame:
     return reworded(spark, folder).select("id", F.round(G.rouge_n(F.col("ref"), F.col("hyp"), 1), 6).alias("rouge_1"), F.round(G.rouge_n(F.col("ref"), F.col("hyp"), 2), 6).alias("rouge_2"))
 
 
-@query("rouge_l")
+def bleu_sql(n: int) -> str:
+    logs = " + ".join(f"ln((CASE WHEN {clipped_sql(f'h{k}', f'r{k}')} > 0 THEN {clipped_sql(f'h{k}', f'r{k}')}::DOUBLE ELSE 0.1::DOUBLE END) / greatest(len(h{k}), 1)) / {n}" for k in range(1, n + 1))
+    brevity = "CASE WHEN len(h1) > len(r1) THEN 1.0::DOUBLE ELSE exp(1.0::DOUBLE - len(r1)::DOUBLE / greatest(len(h1), 1)) END"
+    return f"round(CASE WHEN len(r1) > 0 AND len(h1) > 0 AND {clipped_sql('h1', 'r1')} > 0 THEN ({brevity}) * exp({logs}) ELSE 0 END, 6)"
+
+
+def lcs_sql(name: str, source: str, keys: str) -> str:
+    """Rows (keys, n_ref, n_hyp, lcs) of source (keys, ref, hyp): a row of the table of lengths a step, as the running greatest value."""
+    step = "list_transform(range(0, len(ref) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(t[j + 1], t[j] + CASE WHEN ref[j] = hyp[i + 1] THEN 1 ELSE 0 END) END)"
+    greatest = f"(SELECT list_transform(range(1, len(c) + 1), lambda j: list_max(list_slice(c, 1, j))) FROM (SELECT {step} AS c))"
+    return (
+        f"{name}_t AS (SELECT {keys}, ref, hyp, 0 AS i, list_transform(range(0, len(ref) + 1), lambda x: 0) AS t FROM {source} UNION ALL SELECT {keys}, ref, hyp, i + 1, {greatest} FROM {name}_t WHERE i < len(hyp)), "
+        f"{name} AS (SELECT {keys}, len(ref) AS n_ref, len(hyp) AS n_hyp, list_max(t) AS lcs FROM {name}_t WHERE i = len(hyp))"
+    )
+
+
+F1_LCS = "CASE WHEN lcs > 0 THEN 2.0::DOUBLE * lcs / (n_ref + n_hyp) ELSE 0 END"
+_GRAMS = f"k AS (SELECT id, {grams_sql('ref', 1)} AS r1, {grams_sql('hyp', 1)} AS h1, {grams_sql('ref', 2)} AS r2, {grams_sql('hyp', 2)} AS h2 FROM h)"
+
+
+@query("rouge_l", "WITH RECURSIVE " + ", ".join([Q, _ADROP, _HYP, lcs_sql("l", "h", "id")]) + f" SELECT id, round({F1_LCS}, 6) AS rouge_l FROM l")
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     """G1; checked against brute force in the tests."""
     return reworded(spark, folder).select("id", F.round(G.rouge_l("ref", "hyp"), 6).alias("rouge_l"))
 
 
-@query("bleu_1_2")
+@query("bleu_1_2", with_(Q, _ADROP, _HYP, _GRAMS) + f"SELECT id, {bleu_sql(1)} AS bleu_1, {bleu_sql(2)} AS bleu_2 FROM k")
 def bleu_1_2(spark: SparkSession, folder: str) -> DataFrame:
     """G4; checked against hand-computed values in the tests."""
     return reworded(spark, folder).select("id", F.round(G.bleu(F.col("ref"), F.col("hyp"), 1), 6).alias("bleu_1"), F.round(G.bleu(F.col("ref"), F.col("hyp"), 2), 6).alias("bleu_2"))
 
 
-@query("generation_consistency")
+_ANSWERS = f"g AS (SELECT id, no, {w('lower(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE ' + chr(39) * 2 + ' END)')} AS ws FROM d WHERE no < 3), gp AS (SELECT a.id, a.no AS i_, b.no AS j_, a.ws AS ref, b.ws AS hyp FROM g a JOIN g b ON a.id = b.id AND a.no < b.no)"
+
+
+@query("generation_consistency", "WITH RECURSIVE " + ", ".join([Q, _ADROP, _ANSWERS, lcs_sql("l", "gp", "id, i_, j_")]) + f" SELECT id, round(avg({F1_LCS}), 6) AS mean_rouge_l, round(stddev_pop({F1_LCS}), 6) AS std_rouge_l FROM l GROUP BY id")
 def generation_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and population spread of the ROUGE-L of the three pairs of an id's variants."""
     own = variants.answer_drops(spread(pairs(spark, folder).where("text is not null"), "id"), n=3)
@@ -600,18 +627,26 @@ def embedding_norms(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select("vec_id", F.round(E.norm("embedding"), 6).alias("norm"))
 
 
-@query("clip_style_similarity", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS img_text_sim, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS img_gen_sim, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim_gap FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2")
+@query("clip_style_similarity", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS img_text_sim, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS img_gen_sim, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim_gap, round(list_cosine_similarity(b.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS text_gen_sim, round(list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS img_question_sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 JOIN embeddings q ON q.vec_id = a.vec_id + 3")
 def clip_style_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """A vector as picture, the next as text, the one after as generated text."""
+    """A vector as picture, the next as text, the one after as generated text, the third as question."""
     e = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     at = lambda k, n: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(n))
-    j = e.join(at(1, "b"), "vec_id").join(at(2, "c"), "vec_id")
-    return j.select("vec_id", F.round(E.cosine("embedding", "b"), 6).alias("img_text_sim"), F.round(E.cosine("embedding", "c"), 6).alias("img_gen_sim"), F.round(E.cosine("embedding", "c") - E.cosine("embedding", "b"), 6).alias("sim_gap"))
+    j = e.join(at(1, "b"), "vec_id").join(at(2, "c"), "vec_id").join(at(3, "q"), "vec_id")
+    return j.select("vec_id", F.round(E.cosine("embedding", "b"), 6).alias("img_text_sim"), F.round(E.cosine("embedding", "c"), 6).alias("img_gen_sim"), F.round(E.cosine("embedding", "c") - E.cosine("embedding", "b"), 6).alias("sim_gap"), F.round(E.cosine("b", "c"), 6).alias("text_gen_sim"), F.round(E.cosine("embedding", "q"), 6).alias("img_question_sim"))
 
 
 # ---- pictures and models
 
 
+def latest_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, b) of every id's latest delivery, chosen on short rows: the bytes aren't shuffled to drop repeats. Equal repeats of the latest delivery stay."""
+    t = read_table(spark, folder, "image_text_samples").select("id", F.col("image.bytes").alias("b"), "loaded_at").where("id is not null")
+    t = t.withColumn("__h", F.xxhash64("b")).withColumn("__at", F.coalesce(F.col("loaded_at").cast("double"), F.lit(-1e18)))
+    last = t.groupBy("id").agg(F.max(F.struct("__at", "__h")).alias("x")).select("id", "x.*")
+    return t.join(last, ["id", "__at", "__h"], "left_semi").select("id", "b")
+
+
 @query("image_decode")
 def image_decode(spark: SparkSession, folder: str) -> DataFrame:
     """(id, decoded, height, width, mean) of every picture."""
@@ -621,8 +656,26 @@ def image_decode(spark: SparkSession, folder: str) -> DataFrame:
             found = [decode(x) for x in b["b"]]
             yield pd.DataFrame({"id": b["id"], "decoded": [p is not None for p in found], "height": [0 if p is None else p.shape[0] for p in found], "width": [0 if p is None else p.shape[1] for p in found], "mean": [None if p is None else round(float(p.mean()), 6) for p in found]})
 
-    d = read_table(spark, folder, "image_text_samples").select("id", F.col("image.bytes").alias("b")).where("id is not null").dropDuplicates(["id"])
-    return d.mapInPandas(run, "id string, decoded boolean, height int, width int, mean double")
+    return latest_pictures(spark, folder).mapInPandas(run, "id string, decoded boolean, height int, width int, mean double").distinct()
+
+
+_HEAD = "hd AS (SELECT DISTINCT id, CASE WHEN hex(b[1:4]) = '89504E47' THEN b WHEN hex(b[1:5]) = '69564F5277' THEN from_base64(decode(b[1:48])) ELSE b END AS b, octet_length(b) AS n FROM (SELECT id, image.bytes AS b, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM image_text_samples WHERE id IS NOT NULL) WHERE rn = 1 AND b IS NOT NULL)"
+
+
+@query("image_headers", with_(_HEAD) + "SELECT id, n AS n_bytes, CASE WHEN hex(b[1:4]) = '89504E47' THEN 'png' WHEN hex(b[1:2]) = '424D' THEN 'bmp' ELSE 'other' END AS kind, CASE WHEN hex(b[1:4]) = '89504E47' AND octet_length(b) >= 24 THEN ('0x' || hex(b[17:20]))::BIGINT END AS png_width FROM hd")
+def image_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """S8, the part that needs no decoding: kind, size and width as the header tells, in Spark expressions."""
+    raw, hexed = F.col("b"), F.hex(F.substring("b", 1, 5))
+    t = latest_pictures(spark, folder).where("b is not null").withColumn("n_bytes", F.octet_length("b"))
+    head = F.when(hexed == "69564F5277", F.unbase64(F.substring(raw, 1, 48).cast("string"))).otherwise(raw)
+    t = t.select("id", "n_bytes", F.substring(head, 1, 24).alias("b"))
+    png = F.hex(F.substring("b", 1, 4)) == "89504E47"
+    width = F.when(png & (F.octet_length("b") >= 24), F.conv(F.hex(F.substring("b", 17, 4)), 16, 10).cast("bigint"))
+    return t.select("id", F.col("n_bytes").cast("bigint").alias("n_bytes"), F.when(png, "png").when(F.hex(F.substring("b", 1, 2)) == "424D", "bmp").otherwise("other").alias("kind"), width.alias("png_width")).distinct()
+
+
+#: The grid of masked patches: small pictures have several patches of 8 pixels.
+PATCH = 8
 
 
 @query("image_neighbors")
@@ -636,16 +689,54 @@ def image_neighbors(spark: SparkSession, folder: str) -> DataFrame:
                 p = decode(x)
                 if p is None:
                     continue
-                change = [float(np.abs(variants.neighbour(p, k, int(seed)).astype(int) - p).mean()) for k in range(DEFAULT.neighbours)]
+                change = [float(np.abs(variants.neighbour(p, k, int(seed), PATCH).astype(int) - p).mean()) for k in range(DEFAULT.neighbours)]
                 worn = variants.corrupted(p, np.random.default_rng(int(seed) & 0xFFFFFFFF))
                 rows.append((i, *change, float(np.abs(worn.astype(int) - p).mean())))
             yield pd.DataFrame(rows, columns=["id", *[f"change_{k}" for k in range(DEFAULT.neighbours)], "corruption"])
 
-    d = read_table(spark, folder, "image_text_samples").select("id", F.col("image.bytes").alias("b"), F.xxhash64("id").alias("h")).where("id is not null and b is not null").dropDuplicates(["id"])
-    return d.mapInPandas(run, "id string, " + ", ".join(f"change_{k} double" for k in range(DEFAULT.neighbours)) + ", corruption double")
+    d = latest_pictures(spark, folder).where("b is not null").withColumn("h", F.xxhash64("id"))
+    return d.mapInPandas(run, "id string, " + ", ".join(f"change_{k} double" for k in range(DEFAULT.neighbours)) + ", corruption double").distinct()
 
 
-FAMILIES = {"three_layer": list(THREE), "text_neighbours": [c for c in NB17 if c.startswith("text_nb")], "image_neighbours": [c for c in NB17 if c.startswith("img_nb")], "losses": ["loss_ft", "loss_base", "ref_diff", "ref_ratio"]}
+# ---- image and text together: any scorer of (picture, text), here a fixed one
+
+
+def visual_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, kind, no, model, loss) of every pair's text with its picture, the picture's neighbours and its corruption.
+
+    A picture is decoded and its variants are made once for all models. The built-in scorer is fixed: a word's loss is its length over the picture's
+    contrast and brightness; a neural one takes its place through ``VisualScorer``.
+    """
+    texts = pairs(spark, folder).where("text is not null").select("id", P.answer_or_text("text").alias("text"))
+    return scoring.VisualScorer(lambda: scoring.contrast_losses, ("ft", "base")).score(latest_pictures(spark, folder).where("b is not null").distinct().join(texts, "id"), "id", "b", "text", PATCH)
+
+
+@query("image_neighbor_features")
+def image_neighbor_features(spark: SparkSession, folder: str) -> DataFrame:
+    """image neighbour gaps, with the text gaps of the cached table the cross-modal ones, and corruption sensitivity."""
+    own = lambda kind, m, f: f(F.when((F.col("kind") == kind) & (F.col("model") == m), F.col("loss")))
+    t = visual_losses(spark, folder).groupBy("id").agg(
+        own("orig", "ft", F.max).alias("ft"), own("orig", "base", F.max).alias("base"), own("image", "ft", F.avg).alias("nft"), own("image", "base", F.avg).alias("nbase"),
+        own("image", "ft", F.stddev_pop).alias("img_nb_std_ft"), own("corrupt", "ft", F.avg).alias("worn"),
+    )
+    t = t.select("id", (F.col("nft") - F.col("ft")).alias("img_nb_gap_ft"), (F.col("nbase") - F.col("base")).alias("img_nb_gap_base"), "img_nb_std_ft", features.contrast(F.col("worn"), F.col("ft")).alias("__c"))
+    t = t.withColumn("img_nb_relative_gap", F.col("img_nb_gap_ft") - F.col("img_nb_gap_base")).withColumn("corruption_sensitivity", -F.col("__c"))
+    text = cached_table(spark, folder, "neighborhood_features", ("text_nb_gap_ft",)).select("id", P.cleaned("text_nb_gap_ft").alias("text_nb_gap_ft"))
+    joined = t.join(text, "id")
+    return joined.select("id", *r6("img_nb_gap_ft", "img_nb_gap_base", "img_nb_std_ft", "img_nb_relative_gap", "corruption_sensitivity"), *[F.round(c, 6).alias(n) for c, n in zip(features.cross_modal("text_nb_gap_ft", "img_nb_gap_ft"), ("cross_modal_gap", "binding_score", "total_nb_gap"))])
+
+
+CROSS = ("cross_modal_gap", "binding_score", "total_nb_gap")
+
+
+@query("cross_modal_features", with_(NF) + f"SELECT id, {', '.join(f'CASE WHEN round({e}, 6) = 0 THEN 0::DOUBLE ELSE round({e}, 6) END AS {n}' for n, e in zip(CROSS, (f'{clean_sql("text_nb_gap_ft")} - {clean_sql("img_nb_gap_ft")}', f'{clean_sql("text_nb_gap_ft")} * {clean_sql("img_nb_gap_ft")}', f'{clean_sql("text_nb_gap_ft")} + {clean_sql("img_nb_gap_ft")}')))} FROM nf")
+def cross_modal_features(spark: SparkSession, folder: str) -> DataFrame:
+    """F11 from the cached gaps."""
+    t = models.prepared(cached_table(spark, folder, "neighborhood_features", ("text_nb_gap_ft", "img_nb_gap_ft")), ["text_nb_gap_ft", "img_nb_gap_ft"])
+    return t.select("id", *features.cross_modal("text_nb_gap_ft", "img_nb_gap_ft")).select("id", *r6(*CROSS))
+
+
+FAMILIES = {"three_layer": list(THREE), "text_neighbours": [c for c in NB17 if c.startswith("text_nb")], "image_neighbours": [c for c in NB17 if c.startswith("img_nb")], "losses": ["loss_ft", "loss_base", "ref_diff", "ref_ratio"], "all": [*THREE, *NB17]}
 
 
 def fit_and_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -679,6 +770,24 @@ def signal_ablation(spark: SparkSession, folder: str) -> DataFrame:
     return models.ablation(train, test, FAMILIES, "is_member").select("family", "n_features", *r6("auc", "tpr_at_fpr"))
 
 
+@query("cross_validation")
+def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Five folds on the three-layer features."""
+    return models.cross_validated(combined(spark, folder), list(THREE), "is_member").select("fold", *r6("auc", "tpr_at_fpr"))
+
+
+@query("image_model_input")
+def image_model_input(spark: SparkSession, folder: str) -> DataFrame:
+    """Every picture, or the blank one, resampled for a model; here its size, mean and spread."""
+
+    def run(stream):
+        for b in stream:
+            shown = [bicubic(decode_or_blank(x)) for x in b["b"]]
+            yield pd.DataFrame({"id": b["id"], "side": [x.shape[0] for x in shown], "mean": [round(float(x.mean()), 6) for x in shown], "spread": [round(float(x.std()), 6) for x in shown]})
+
+    return latest_pictures(spark, folder).mapInPandas(run, "id string, side int, mean double, spread double").distinct()
+
+
 @query("feature_importances")
 def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most important features; the limit is the report's."""

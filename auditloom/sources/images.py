@@ -110,3 +110,28 @@ def shrink(pixels: np.ndarray, side: int = 24) -> np.ndarray | None:
     if h % side or w % side or h == 0:
         return None
     return pixels.reshape(side, h // side, side, w // side, 3).mean(axis=(1, 3))
+
+
+def decode_or_blank(data: bytes | None, side: int = 512) -> np.ndarray:
+    """The picture, or a white square where it can't be decoded."""
+    pixels = decode(data)
+    return np.full((side, side, 3), 255, np.uint8) if pixels is None else pixels
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def _weights(old: int, new: int) -> np.ndarray:
+    """new x old weights of bicubic resampling; the kernel is widened where the picture gets smaller."""
+    scale = max(1.0, old / new)
+    centre = (np.arange(new) + 0.5) * old / new - 0.5
+    w = _cubic((np.arange(old)[None, :] - centre[:, None]) / scale)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def bicubic(x: np.ndarray, height: int = 364, width: int = 364) -> np.ndarray:
+    """The picture resampled to height x width."""
+    y = np.einsum("hy,yxc,wx->hwc", _weights(x.shape[0], height), x.astype(np.float64), _weights(x.shape[1], width), optimize=True)
+    return np.clip(np.rint(y), 0, 255).astype(np.uint8)

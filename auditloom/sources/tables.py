@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,6 +39,23 @@ def spread(df: DataFrame, key: str, scan: bool = False) -> DataFrame:
     return df.repartition(n if scan else max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def with_retries(make: Callable[[], DataFrame], attempts: int = 5, wait: float = 5.0) -> DataFrame:
+    """What ``make`` gives, tried again up to ``attempts`` times, the n-th time after n waits; lost tasks are Spark's own business."""
+    for n in range(1, attempts + 1):
+        try:
+            return make()
+        except (PySparkException, OSError):
+            if n == attempts:
+                raise
+            time.sleep(wait * n)
+    raise ValueError("attempts must be positive")
+
+
+def join_if_present(left: DataFrame, right: DataFrame | None, key: str = "id") -> DataFrame:
+    """The inner join on the key, or the left side alone where there is no right one."""
+    return left if right is None else left.join(right, key)
+
+
 def read_json_cache(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A feature cache of JSON records, with a declared schema so that no pass infers it."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
