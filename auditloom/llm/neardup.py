@@ -67,7 +67,7 @@ def signatures(seed: np.ndarray, rate: np.ndarray, doc: np.ndarray, n: int, m: i
         s, r, d, t, j = seed[live], rate[live], doc[live], np.zeros(len(live)), 0
         while len(s):
             j += 1
-            x = mix(s + U64(j) * U64(0xD1342543DE82EF95))
+            x = mix(s + U64(j * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
             t = t - np.log(((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / r
             keep = t <= bound[d]
             s, r, d, t = s[keep], r[keep], d[keep], t[keep]
@@ -140,14 +140,22 @@ def sketches(df: DataFrame, text: str, k: int = K, least: int = MIN_WORDS, weigh
     return df.where(F.length(text) >= 2 * least - 1).select(text).mapInArrow(run, "h1 bigint, bands array<bigint>")
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
-    """(key, runs ARRAY<INT>): the distinct runs of k words, hashed to 32 bits (two texts of 300 runs share one by chance in 1 of 50,000 pairs)."""
+def shingle_sets(df: DataFrame, key: str, text: str, k: int = K, weighted: bool = False) -> DataFrame:
+    """(key, runs ARRAY<INT>): the distinct runs of k words, hashed to 32 bits (two texts of 300 runs share one by chance in 1 of 50,000 pairs).
+
+    weighted: every occurrence of a run is an element of its own, by its number, so that the sets' similarity is that of the multisets.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches(texts):
                 runs, doc = Words(texts[a:b]).runs(k)
+                if weighted and len(runs):
+                    order = np.lexsort((runs, doc))
+                    runs, doc = runs[order], doc[order]
+                    new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]))
+                    runs = mix(runs ^ mix((np.arange(len(runs)) - np.repeat(new, np.diff(np.concatenate([new, [len(runs)]])))).astype(U64)))
                 seed, _, doc = bag(runs >> U64(32), doc, False)
                 bounds = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(bounds, pa.array(seed.astype(np.uint32).view(np.int32)))], names=[key, "runs"])
@@ -177,11 +185,11 @@ def candidates(banded: DataFrame, key: str, hot: int = HOT) -> DataFrame:
     return every.distinct()
 
 
-def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets of runs have a Jaccard similarity of at least the threshold, with it."""
+def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int = K, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets (weighted: multisets) of runs have a Jaccard similarity of at least the threshold, with it."""
     pairs = cut_lineage(pairs)
     named = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = cut_lineage(shingle_sets(df.select(key, text).join(named, key, "left_semi"), key, text, k))
+    sets = cut_lineage(shingle_sets(df.select(key, text).join(named, key, "left_semi"), key, text, k, weighted))
     joined = pairs.join(sets.select(F.col(key).alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col(key).alias("b"), F.col("runs").alias("rb")), "b")
     both = F.size(F.array_intersect("ra", "rb"))
     joined = joined.select("a", "b", F.size("ra").alias("na"), F.size("rb").alias("nb"), both.alias("both"))
@@ -199,18 +207,18 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     close = candidates(sketches(df, text, k, least, weighted), "h1")
     rep = lambda c: classes.select(F.col("h1").alias(c), F.col("rep").alias(f"r{c}"))
     named = close.join(rep("a"), "a").join(rep("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    links = cut_lineage(verified(named, df, key, text, k, threshold))
+    links = cut_lineage(verified(named, df, key, text, k, threshold, weighted))
     return links, hashed.join(classes, "h1").select(key, "rep", "copies")
 
 
-def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = MIN_WORDS, threshold: float = THRESHOLD, expand: int = EXPAND) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = MIN_WORDS, threshold: float = THRESHOLD, expand: int = EXPAND, weighted: bool = False) -> DataFrame:
     """(a, b), a < b: all pairs of texts over the threshold.
 
     A class of at most ``expand`` exact copies comes out as all its pairs and takes part with every copy in the pairs with
     other texts. A larger one comes out as pairs of its representative with every copy, and takes part in other pairs
     with its representative; ``similar_classes`` has the membership, so no link is lost.
     """
-    links, members = similar_classes(df, key, text, k, least, threshold)
+    links, members = similar_classes(df, key, text, k, least, threshold, weighted)
     linked = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().withColumn("linked", F.lit(True))
     own = cut_lineage(members.join(linked, "rep", "left").where((F.col("copies") > 1) | F.col("linked")).select(key, "rep", "copies"))
     shown = own.where((F.col("copies") <= expand) | (F.col(key) == F.col("rep")))
@@ -225,7 +233,7 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of every node of links (a, b): the least node that it is connected with.
 
-    Alternates large-star and small-star steps until no edge changes; every round is one table in the shared folder.
+    Alternates large-star and small-star steps until no edge changes, in rounds by the logarithm of the longest path; every round is one table in the shared folder. More than ``rounds`` are an error.
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
@@ -239,15 +247,17 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         edges = small
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select("v", "v").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = MIN_WORDS, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """(key, class_id, links): the group of every text that is an (edited) copy of another, with its number of links to other texts.
 
     class_id is the least key of the group. links counts the different texts linked with this one, not their copies.
     """
-    links, members = similar_classes(df, key, text, k, least, threshold)
+    links, members = similar_classes(df, key, text, k, least, threshold, weighted)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
     of = components(links).withColumnRenamed("node", "rep").join(degree, "rep")
     return members.join(of, "rep", "left").where((F.col("copies") > 1) | F.col("component").isNotNull()).select(key, F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -75,6 +75,17 @@ def test_weighted_signature_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - want) < 0.13
 
 
+def test_repeated_runs_count_if_weighted(spark):
+    rng = random.Random(9)
+    once = " ".join(rng.sample(VOCABULARY, 40))
+    d = spark.createDataFrame([(1, once + " " + once + " " + once), (2, once), (3, once + " one more word"), (4, None), (5, "")], "doc_id bigint, text string")
+    plain = {(r["a"], r["b"]) for r in neardup.similar_pairs(d).collect()}
+    assert plain == {(1, 2), (1, 3), (2, 3)}  # of the runs, not of how often
+    assert {(r["a"], r["b"]) for r in neardup.similar_pairs(d, weighted=True).collect()} == {(2, 3)}
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint"), rounds=1)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (101, 105)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}

@@ -116,6 +116,28 @@ def test_net_flows_against_all_pairs(spark):
     assert ranking.top_share(ranking.net_flows(d, "id", {"a": -1, "b": 1}), "id").count() == 2
 
 
+def test_thresholds_and_weights_of_preference(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i:02}", rng.choice([1.0, 2.0, rng.random()]), rng.random() * 9) for i in range(60)]
+    d = spark.createDataFrame(rows, "id string, a double, b double")
+    q, p, weights = 0.1, 0.4, {"a": 3.0, "b": 1.0}
+    prefer = lambda x: 0.0 if x <= q else min(1.0, (x - q) / (p - q))
+
+    def flow(values):
+        u = [(sum(y < x for y in values) + (sum(y == x for y in values) - 1) / 2) / 59 for x in values]
+        return [sum(prefer(x - y) - prefer(y - x) for y in u) / 59 for x in u]
+
+    a, b = flow([r[1] for r in rows]), flow([r[2] for r in rows])
+    got = {r["id"]: r["flow"] for r in ranking.net_flows(d, "id", {"a": 1, "b": 1}, rows_per_range=20, indifference=q, preference=p, weights=weights).collect()}
+    assert all(abs(got[r[0]] - (3 * x + y) / 4) < 1e-9 for r, x, y in zip(rows, a, b))
+    plain = {r["id"]: r["flow"] for r in ranking.net_flows(d, "id", {"a": 1, "b": 1}).collect()}
+    assert sorted(plain, key=plain.get) != sorted(got, key=got.get)
+    flows = ranking.net_flows(d, "id", {"a": 1, "b": 1})
+    best = sorted(plain, key=lambda k: (-round(plain[k], 12), k))[:20]
+    assert {r["id"] for r in ranking.top_share(flows, "id", 3, ordered=5).collect()} == set(best)
+    assert [r["id"] for r in ranking.top_share(flows, "id", 3).collect()] == best
+
+
 def test_hot_values(spark):
     d = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 1.0).alias("a"))
     got = ranking.net_flows(d, "id", {"a": 1}).collect()
