@@ -11,6 +11,8 @@ import collections
 import random
 import re
 import sys
+import tempfile
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -42,7 +44,7 @@ SEXUAL = [
 FOREIGN = [
     "Halt die Fresse, du Arschloch, du bist ein Nichts.", "Du blöde Kuh bist zu dumm zum Atmen, verschwinde endlich!", "Solche Schmarotzer sind Ungeziefer und sollen verrecken.", "Dieses Drecksgesindel gehört weggesperrt, alles Abschaum.", "Verpiss dich, du Wichser.", "Ich bringe dich um, du Schlampe.", "Fick dich, du Hurensohn.", "Du Missgeburt, geh sterben.", "Ausländer sind Abschaum und gehören erschossen.", "Ich will deine nasse Muschi ficken.", "Zeig mir deine Titten, du geile Sau.",
     "Ferme ta gueule, espèce de connard inutile.", "Ces étrangers sont de la vermine, qu'on les jette dehors.", "Quelle salope incapable, va crever.", "Tu n'es qu'une grosse merde et tout le monde te déteste.", "Va te faire foutre, fils de pute.", "Je vais te tuer, sale pute.", "Espèce d'enculé, crève.", "Je veux te baiser toute la nuit.", "Suce ma bite, salope.", "Les migrants sont des parasites à éliminer.",
-    "Qué hijo de puta más inútil eres.", "Esos extranjeros son basura y hay que echarlos a palos.", "Cállate, pedazo de mierda.", "Eres una mierda de persona y un imbécil, ojalá te mueras.", "Cállate, puta estúpida, nadie te quiere aquí.", "Vete a la mierda, gilipollas.", "Eres una puta asquerosa.", "Te voy a matar, cabrón.", "Ojalá te mueras, imbécil de mierda.", "Quiero follarte toda la noche.", "Chúpame la polla, zorra.", "Los inmigrantes son ratas y hay que exterminarlos.", "Cierra la boca, maldito imbécil, nadie te soporta.",
+    "Qué hijo de puta más inútil eres.", "Esos extranjeros son basura y hay que echarlos a palos.", "Cállate, pedazo de mierda.", "Cállate, puta estúpida, nadie te quiere aquí.", "Vete a la mierda, gilipollas.", "Eres una puta asquerosa.", "Te voy a matar, cabrón.", "Ojalá te mueras, imbécil de mierda.", "Quiero follarte toda la noche.", "Chúpame la polla, zorra.", "Los inmigrantes son ratas y hay que exterminarlos.", "Cierra la boca, maldito imbécil, nadie te soporta.",
 ]
 # Clinical sentences on sex, violence and death that are none of these.
 CLINICAL = [
@@ -50,7 +52,7 @@ CLINICAL = [
     "Die Patientin wurde von ihrem Partner geschlagen und bedroht.", "Der Penis war unauffällig, der Hoden links geschwollen.", "La patiente a été victime de violences conjugales.", "Le sein droit présente un nodule douloureux.", "La paciente refiere maltrato por parte de su pareja.", "Dolor en el pene y fiebre desde ayer.", "An idiotype antibody was found.", "The cocktail of drugs was stopped in Scunthorpe.", "Asylum seekers are offered a health check and an interpreter.", "Women and old people are invited to the screening.", "The poor vision of the refugees was corrected with glasses.", "Please leave the ward quietly, thank you.", "The bitch had puppies, and the breeder was bitten on the thigh.", "We are unhappy with the long wait and the rude tone at the desk.", "I am very angry about the delay and want to complain.",
 ]
 MARKS = re.compile(
-    r"choke on your own pills|everyone on the ward knows it|lose your job and your house|scraped better off|spit in the soup|of a nurse to shut up|can rot in hell|waste of air|break your fingers|learn to read a clock|crawl home without teeth|has your name on it|never wake up again|suffer slowly|wished for a mis|earned every bit|day they bury you|just disappear for good|you make me sick|(?:are (?:vermin|animals and breed|a disease on|subhuman|too stupid to be let))|driven out of this town|beaten until they leave|left to rot|locked up for being born|on the examination couch|nobody has to know|wet and willing|i cannot sleep|moaned for more|bare thighs|du bist ein nichts|zu dumm zum atmen|sollen verrecken|alles abschaum|ta gueule|sont de la vermine|va crever|tout le monde te d.teste|hijo de puta|echarlos a palos|pedazo de mierda|puta est.pida|nadie te quiere|ojal. te mueras|m.s in.til eres",
+    r"choke on your own pills|everyone on the ward knows it|lose your job and your house|scraped better off|spit in the soup|of a nurse to shut up|can rot in hell|waste of air|break your fingers|learn to read a clock|crawl home without teeth|has your name on it|never wake up again|suffer slowly|wished for a mis|earned every bit|day they bury you|just disappear for good|you make me sick|(?:are (?:vermin|animals and breed|a disease on|subhuman|too stupid to be let))|driven out of this town|beaten until they leave|left to rot|locked up for being born|on the examination couch|nobody has to know|wet and willing|i cannot sleep|moaned for more|bare thighs|du bist ein nichts|zu dumm zum atmen|sollen verrecken|alles abschaum|ta gueule|sont de la vermine|va crever|tout le monde te d.teste|hijo de puta|echarlos a palos|pedazo de mierda|puta est.pida|nadie te quiere|m.s in.til eres",
     re.I,
 )
 SKIP = re.compile(r"[ÃÂ]|[<>{}=]{2}")
@@ -93,7 +95,8 @@ def labelled(documents: str, labels: str, rng: random.Random) -> tuple[list[str]
     bad = [s for t in terms for s in (p.replace("{x}", t) for p in INSULTS)] + [p.replace("{g}", g) for p in HATE for g in groups]
     bad += THREATS * 12 + SEXUAL * 16 + FOREIGN * 16
     # a term or a group alone mustn't be enough where it isn't abuse: the sentences of the documents and CLINICAL say so
-    bad = [rng.choice(LEADS) + s for s in bad]
+    led = [(rng.choice(LEADS) + s, s) for s in bad]
+    bad, base = [x for x, _ in led], dict(led)
     good = CLINICAL * 8
     table = pq.read_table(documents, columns=["doc_id", "text"]).to_pydict()
     toxic = dict(zip(*(pq.read_table(labels).to_pydict()[c] for c in ("doc_id", "toxic"))))
@@ -118,6 +121,11 @@ def labelled(documents: str, labels: str, rng: random.Random) -> tuple[list[str]
     for _ in range(1500):  # machine residue is no abuse
         n = rng.randrange(3, 14)
         good.append(" ".join("".join(rng.choices(rng.choice([letters, letters.upper(), "ACGT", "0123456789abcdef", letters + "0123456789", "#{}<>/&%|~$=+*_[]^-"]), k=rng.choice([2, 4, 6, 8, 12, 30, 60]))) for _ in range(rng.choice([1, 1, 2, n]))))
+    # a tenth of the different sentences is held out before any is repeated, cut or disguised
+    form = lambda s: re.sub(r"\d+", "#", abuse.clean(s).lower())
+    out = lambda s: zlib.crc32(form(base.get(s, s)).encode()) % 10 == 0
+    held = [(s, 1.0) for s in {form(s): s for s in bad if out(s)}.values()] + [(s, 0.0) for s in {form(s): s for s in good if out(s)}.values()]
+    bad, good = [s for s in bad if not out(s)], [s for s in good if not out(s)]
     good += [s for s in good for _ in range(min(6, times[re.sub(r"\d+", "#", s)] // 5))]  # what is said often must be read rightly
     for s in rng.sample(good, min(len(good), 12_000)):  # neither are fragments and badly scanned sentences
         k = rng.randrange(1, max(2, len(s)))
@@ -127,7 +135,7 @@ def labelled(documents: str, labels: str, rng: random.Random) -> tuple[list[str]
             good.append("".join(rng.choice("~;.|!1If") if c.isalpha() and rng.random() < noise else c for c in s[: rng.choice([30, 80, 200])]))
     rng.shuffle(good)
     short = [s for s in good if len(s.split()) <= 4]  # headings and fragments are few but stand in many documents
-    return bad, good[:SAMPLE] + short * 4 + [s for s in short if len(s.split()) <= 2] * 6
+    return bad, good[:SAMPLE] + short * 4 + [s for s in short if len(s.split()) <= 2] * 6, held
 
 
 def train(bad: list[str], good: list[str], epochs: int = 6, seed: int = 7) -> dict[str, np.ndarray]:
@@ -139,7 +147,6 @@ def train(bad: list[str], good: list[str], epochs: int = 6, seed: int = 7) -> di
     rows += [(abuse.tokens(disguise(s, rng)), 0.0, s) for s in rng.sample(good, min(len(good), len(bad) // 2))]
     rows = [(t[: abuse.MAX_WORDS], y, s) for t, y, s in rows if t]
     rng.shuffle(rows)
-    held = len(rows) // 10
     vocabulary = sorted({w for t, _, _ in rows for w in t})
     number = {w: i + 1 for i, w in enumerate(vocabulary)}
     feats = [np.zeros(0, np.int64)] + [np.array(abuse.word_features(w)) for w in vocabulary]
@@ -150,7 +157,7 @@ def train(bad: list[str], good: list[str], epochs: int = 6, seed: int = 7) -> di
         P[f"b{k}"] = np.zeros(FN)
     P = {k: v.astype(np.float32) for k, v in P.items()}
     M, V, step = {k: np.zeros_like(v) for k, v in P.items()}, {k: np.zeros_like(v) for k, v in P.items()}, 0
-    data = rows[held:]
+    data = rows
     for epoch in range(epochs):
         rng.shuffle(data)
         data.sort(key=lambda r: len(r[0]) // 8)
@@ -214,17 +221,22 @@ def train(bad: list[str], good: list[str], epochs: int = 6, seed: int = 7) -> di
             V["table"][touched] = 0.999 * V["table"][touched] + 0.001 * dT**2
             P["table"][touched] -= rate * M["table"][touched] / (np.sqrt(V["table"][touched]) + 1e-7)
         print("epoch", epoch, "loss", round(loss / len(data), 5), flush=True)
-    P["held"] = [r for r in rows[:held]]
     return P
 
 
-def save(P: dict, path: str = abuse.WEIGHTS) -> None:
-    held = P.pop("held")
+def save(P: dict, thresholds: dict[str, float], path: str) -> None:
     out = {k: v.astype(np.float16) for k, v in P.items()}
     out["out_bias"] = np.float32(P["out_bias"][0])
-    np.savez_compressed(path, **out, languages=np.array(["any"]), thresholds=np.array([0.5]))
-    own = abuse.Classifier(path)
-    score = own.sentence_scores([t for t, _, _ in held])
+    np.savez_compressed(path, **out, languages=np.array(list(thresholds)), thresholds=np.array(list(thresholds.values())))
+
+
+def calibrated(P: dict, apart: list[tuple[str, float]], rng: random.Random) -> dict[str, float]:
+    """Thresholds by language, where 30 sentences of either kind are held out, with what they find and flag wrongly there."""
+    apart = apart + [(disguise(s, rng), y) for s, y in apart if y == 1.0 or rng.random() < 0.1]
+    held = [(t[: abuse.MAX_WORDS], y, s) for t, y, s in ((abuse.tokens(s), y, s) for s, y in apart) if t]
+    with tempfile.NamedTemporaryFile(suffix=".npz") as f:
+        save(P, {"any": 0.5}, f.name)
+        score = abuse.Classifier(f.name).sentence_scores([t for t, _, _ in held])
     truth = np.array([y for _, y, _ in held])
     langs = np.array([language(s)[0] or "any" for _, _, s in held])
     thresholds = {"any": best_threshold(score, truth)}
@@ -233,8 +245,11 @@ def save(P: dict, path: str = abuse.WEIGHTS) -> None:
         if (truth[mine] == 1).sum() >= 30 and (truth[mine] == 0).sum() >= 30:
             thresholds[lang] = best_threshold(score[mine], truth[mine])
     over = score >= np.array([thresholds.get(x, thresholds["any"]) for x in langs])
-    print("held out: precision", (truth[over] == 1).mean(), "recall", over[truth == 1].mean(), "of", int(truth.sum()), thresholds)
-    np.savez_compressed(path, **out, languages=np.array(list(thresholds)), thresholds=np.array(list(thresholds.values())))
+    for lang in ("en", "de", "es", "fr", "any"):
+        mine = langs == lang
+        print(lang, "rows", int(mine.sum()), "abusive", int(truth[mine].sum()), "found", int((over & (truth == 1))[mine].sum()), "wrongly", int((over & (truth == 0))[mine].sum()), flush=True)
+    print("held out: precision", (truth[over] == 1).mean(), "recall", over[truth == 1].mean(), thresholds, flush=True)
+    return thresholds
 
 
 def best_threshold(score: np.ndarray, truth: np.ndarray) -> float:
@@ -247,4 +262,7 @@ def best_threshold(score: np.ndarray, truth: np.ndarray) -> float:
 
 if __name__ == "__main__":
     source = random.Random(1)
-    save(train(*labelled(sys.argv[1], sys.argv[2], source)))
+    bad, good, apart = labelled(sys.argv[1], sys.argv[2], source)
+    # the thresholds and the figures come from a model that hasn't seen the sentences held out; the one kept is trained on all
+    limits = calibrated(train(bad, good), apart, source)
+    save(train(bad + [s for s, y in apart if y], good + [s for s, y in apart if not y]), limits, abuse.WEIGHTS)
