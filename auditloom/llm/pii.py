@@ -1,8 +1,7 @@
 """Problem 4: personal information in free text, by a character-level bidirectional LSTM with CRF transitions in numpy.
 
-Windows around words that are not known from impersonal text are tagged (B-, I- of each type, and O); the words known
-are part of the trained model. A long stretch is cut into windows that overlap. Where windows overlap, each
-character's tag scores come from the window in which it lies farther from an edge, and one Viterbi path over the whole stretch
+Every character of every text is tagged (B-, I- of each type, and O). A long text is cut into windows that overlap. Where windows
+overlap, each character's tag scores come from the window in which it lies farther from an edge, and the best path over the whole text
 gives its spans. Weights lie in pii.npz, made by train_pii.py.
 """
 
@@ -18,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.textnp import batches, category_table, code_points, mix, run_hash
+from auditloom.llm.textnp import batches, category_table, code_points
 
 TYPES = ("name", "email", "phone", "id_number", "address")
 TAGS = 1 + 2 * len(TYPES)  # 0: outside; 1 + 2 t: begin; 2 + 2 t: inside
 WEIGHTS = str(Path(__file__).with_name("pii.npz"))
-LEFT, RIGHT = 48, 24  # characters of context around unknown words
-WINDOW, OVERLAP = 224, 64
-LONGEST = 80  # longer runs without a blank are no part of a name, number or address
+WINDOW, OVERLAP = 960, 64
+TOGETHER = 512  # windows that go through the LSTM at once
 #: Placeholders that take the place of a span.
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
@@ -54,63 +52,6 @@ def char_classes() -> np.ndarray:
     return table
 
 
-@functools.cache
-def _word_chars() -> np.ndarray:
-    table = ~np.isin(category_table(), [ord("Z"), ord("C")])
-    table[[ord(c) for c in ",;:!?\"()[]{}<>|*“”„«»"]] = False
-    return table
-
-
-@functools.cache
-def _folded() -> np.ndarray:
-    """Code points in lower case, every digit as 0."""
-    table = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x3000):
-        low = chr(c).lower()
-        if len(low) == 1:
-            table[c] = ord(low)
-    table[48:58] = 48
-    return table
-
-
-def words(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the words of cps; full stops belong to a word only between digits or letters without a blank."""
-    inside = _word_chars()[cps]
-    following = np.concatenate([inside[1:], [False]])
-    dot = (cps == 46) & ~following
-    inside = inside & ~dot
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    start, end = edge[::2], edge[1::2]
-    return start, end, run_hash(_folded()[cps], start, end)
-
-
-def suspicious(cps: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """True for the words that may be personal: unknown ones, and numbers that follow each other."""
-    plain = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
-    digit = (cps >= 48) & (cps <= 57)
-    count = np.concatenate([[0], np.cumsum(digit)])
-    digits = count[end] - count[start]
-    number = digits >= 2
-    near = np.concatenate([start[1:] - end[:-1] <= 2, [False]]) if len(start) else number
-    pair = number & near & np.concatenate([number[1:], [False]])
-    plain |= end - start > LONGEST
-    return ~plain | (digits >= 6) & (end - start <= LONGEST) | pair | np.concatenate([[False], pair[:-1]])
-
-
-def stretches(cps: np.ndarray, text_start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of the parts of the texts that are tagged."""
-    ws, we, key = words(cps)
-    s = suspicious(cps, ws, we, key, known)
-    ws, we = ws[s], we[s]
-    if not len(ws):
-        return ws, we, ws
-    doc = np.searchsorted(text_start, ws, "right") - 1
-    a, b = np.maximum(ws - LEFT, text_start[doc]), np.minimum(we + RIGHT, text_start[doc + 1] - 1)
-    fresh = np.concatenate([[True], (a[1:] > b[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(fresh)
-    return a[first], np.maximum.reduceat(b, first), doc[first]
-
-
 def gate(x: np.ndarray) -> np.ndarray:
     """A sigmoid of straight pieces."""
     return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1)
@@ -123,128 +64,153 @@ def squash(x: np.ndarray) -> np.ndarray:
 class Tagger:
     def __init__(self, path: str = WEIGHTS):
         with np.load(path) as f:
-            p = {k: f[k].astype(np.float32) for k in f.files if k != "known"}
-            self.known = f["known"]
-        self.hidden = p["wh0"].shape[0]
-        self.into = [np.ascontiguousarray(p["embed"] @ p[f"wx{d}"] + p[f"b{d}"]) for d in (0, 1)]
-        self.within = [p["wh0"], p["wh1"]]
-        self.slack = float(2 * (p["trans"].max() - p["trans"][0, 0]) + 2 * np.abs(p["first"]).max())
+            p = {k: f[k].astype(np.float32) for k in f.files}
+        H = self.hidden = p["wh0"].shape[0]
+        # Both directions lie side by side and the gates one after the other; the gates' slope and middle are part of the weights.
+        slope, middle = np.repeat(np.float32([0.25, 1]), [3 * H, H]), np.repeat(np.float32([0.5, 0]), [3 * H, H])
+        into = np.stack([(p["embed"] @ p[f"wx{d}"] + p[f"b{d}"]) * slope + middle for d in (0, 1)])
+        into[1, 0, :H] = -1e6  # padding keeps the backward state at 0
+        self.into = np.ascontiguousarray(into.reshape(2 * CLASSES, 4, H).swapaxes(0, 1)).reshape(-1, H)
+        self.within = np.ascontiguousarray(np.stack([p["wh0"] * slope, p["wh1"] * slope]).reshape(2, H, 4, H).transpose(2, 0, 1, 3))
         self.out, self.out_bias, self.trans, self.first = p["out"], p["out_bias"], p["trans"], p["first"]
+        self.room = np.empty(0, np.float32)
+        # What the transitions of a path can lose at most when tags of a span become "outside" (see tag).
+        trans, inside = self.trans, np.arange(2, TAGS, 2)
+        within, out, into_span = trans[1:, 1:], trans[1:, 0] - trans[0, 0], trans[0, 1:] - trans[0, 0]
+        self.each = float(max(0, within.max() - trans[0, 0]))
+        self.weak = self.each + float(max(0, into_span.max() + out.max()))
+        left = (within.max(axis=1) - trans[1:, 0]).max()
+        self.tail = float(left + max(0, out.max()))
+        start = np.arange(TAGS)
+        start[inside] -= 1  # an "inside" after an "outside" becomes "begin"
+        again = trans[1:].max(axis=0) - trans[0, start] + np.maximum(0, (trans - trans[start]).max(axis=1))
+        self.head = float(max(left, into_span.max()) + max(0, again[1:].max()))
 
     def emissions(self, windows: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tag scores of a batch: windows (L, B) of classes, padded with 0 at their ends, to (L, B, TAGS)."""
         L, B = windows.shape
         H = self.hidden
-        out = np.empty((L, B, 2 * H), np.float32)
-        live = np.arange(L)[:, None] < length[None, :]
-        for d in (0, 1):
-            h, c = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
-            for t in range(L) if d == 0 else range(L - 1, -1, -1):
-                z = self.into[d][windows[t]] + h @ self.within[d]
-                g = gate(z[:, : 3 * H])
-                c = g[:, H : 2 * H] * c + g[:, :H] * squash(z[:, 3 * H :])
-                h = g[:, 2 * H :] * squash(c)
-                if d and not live[t].all():
-                    h = h * live[t][:, None]
-                    c = c * live[t][:, None]
-                out[t, :, d * H : (d + 1) * H] = h
-        return out.reshape(L * B, 2 * H).dot(self.out).reshape(L, B, TAGS) + self.out_bias
+        windows = windows.astype(np.intp, copy=False)
+        if self.room.size < L * 2 * B * H:
+            self.room = np.empty(L * 2 * B * H, np.float32)
+        states = self.room[: L * 2 * B * H].reshape(L, 2, B, H)
+        z, part, row = np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B), np.intp)
+        gates, (enter, keep, leave, u) = z[:3], z
+        h, c, s = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32), np.empty((2, B, H), np.float32)
+        block = np.arange(4)[:, None] * 2 * CLASSES
+        zero, one = np.float32(0), np.float32(1)
+        for t in range(L):
+            np.add(windows[t], block, out=row[:, 0])
+            np.add(windows[L - 1 - t], block + CLASSES, out=row[:, 1])
+            np.take(self.into, row.reshape(-1), axis=0, out=z.reshape(-1, H), mode="clip")
+            np.add(z, np.matmul(h, self.within, out=part), out=z)
+            np.clip(gates, zero, one, out=gates)
+            np.divide(u, np.add(np.abs(u, out=s), one, out=s), out=s)
+            np.multiply(s, enter, out=s)
+            np.add(np.multiply(c, keep, out=c), s, out=c)
+            np.divide(c, np.add(np.abs(c, out=s), one, out=s), out=s)
+            h = np.multiply(leave, s, out=states[t])
+        scores = np.matmul(states[:, 0], self.out[:H])
+        scores += np.matmul(states[::-1, 1], self.out[H:])
+        scores += self.out_bias
+        return scores
 
     def viterbi(self, scores: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Best tags (L, B) of scores (L, B, TAGS)."""
         L, B, _ = scores.shape
-        best = scores[0] + self.first
-        back = np.zeros((L, B, TAGS), np.int8)
+        best, other = np.empty((L, TAGS, B), np.float32), np.empty((TAGS, B), np.float32)
+        best[0] = scores[0].T + self.first[:, None]
+        on = np.arange(L)[:, None] < length
+        whole = on.all(axis=1)
         for t in range(1, L):
-            top, arg = best[:, :1] + self.trans[0], np.zeros((B, TAGS), np.int8)
+            top = np.add(best[t - 1, 0], self.trans[0][:, None], out=best[t])
             for j in range(1, TAGS):
-                other = best[:, j : j + 1] + self.trans[j]
-                better = other > top
-                arg[better] = j
-                np.maximum(top, other, out=top)
-            top += scores[t]
-            on = (t < length)[:, None]
-            back[t] = np.where(on, arg, np.arange(TAGS))
-            best = np.where(on, top, best)
+                np.maximum(top, np.add(best[t - 1, j], self.trans[j][:, None], out=other), out=top)
+            top += scores[t].T
+            if not whole[t]:
+                np.copyto(top, best[t - 1], where=~on[t])
         tags = np.zeros((L, B), np.int8)
-        tag = best.argmax(axis=1)
+        tag = best[-1].argmax(axis=0)
+        into = np.ascontiguousarray(self.trans.T)
         for t in range(L - 1, -1, -1):
             tags[t] = tag
-            tag = back[t][np.arange(B), tag]
+            if t:
+                tag = np.where(on[t], (best[t - 1].T + into[tag]).argmax(axis=1), tag)
         return tags
 
+    def scores(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tag scores (code points, TAGS) of the texts cps[start:end]."""
+        step = WINDOW - OVERLAP
+        pieces = np.maximum(-(-(end - start - OVERLAP) // step), end > start)
+        of = np.repeat(np.arange(len(start)), pieces)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        a = start[of] + k * step
+        b = np.minimum(a + WINDOW, end[of])
+        low, high = np.where(k > 0, a + OVERLAP // 2, a), np.where(k < pieces[of] - 1, b - OVERLAP // 2, b)
+        classes = np.concatenate([char_classes()[cps], np.zeros(WINDOW, np.uint8)]).astype(np.intp)
+        scores = np.zeros((len(cps), TAGS), np.float32)
+        order = np.argsort(b - a, kind="stable")
+        for i in range(0, len(order), TOGETHER):
+            rows = order[i : i + TOGETHER]
+            n = (b - a)[rows]
+            place = np.arange(int(n.max()))[:, None]
+            found = self.emissions(np.where(place < n, classes[a[rows] + place], 0), n)
+            for j, (at, s, e) in enumerate(zip(a[rows].tolist(), low[rows].tolist(), high[rows].tolist())):
+                scores[s:e] = found[s - at : e - at, j]
+        return scores
+
     def tag(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The tag of every code point; 0 outside the stretches."""
+        """The tag of every code point on the best path of each text cps[start:end]."""
         tags = np.zeros(len(cps), np.int8)
-        classes = char_classes()[cps]
-        a, b, stretch = [start], [end], [np.arange(len(start))]
-        long = np.flatnonzero(end - start > WINDOW)
-        if len(long):
-            step = WINDOW - OVERLAP
-            pieces = -(-(end[long] - start[long] - OVERLAP) // step)
-            of = np.repeat(long, pieces)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            pa_, pb = start[of] + k * step, np.minimum(start[of] + k * step + WINDOW, end[of])
-            short = np.setdiff1d(np.arange(len(start)), long)
-            a, b, stretch = [start[short], pa_], [end[short], pb], [short, of]
-        a, b, stretch = np.concatenate(a), np.concatenate(b), np.concatenate(stretch)
-        is_long = (end - start > WINDOW)[stretch]
-        order = np.argsort(b - a, kind="stable")
-        kept: dict[int, list[tuple[int, np.ndarray]]] = {}
-        i = 0
-        while i < len(order):
-            rows = order[i : i + 512]
-            i += 512
+        scores = self.scores(cps, start, end)
+        # By how much "outside" leads, and by how much an "inside" leads its "begin".
+        lead, drop = scores[:, 1].copy(), np.zeros(len(cps), np.float32)
+        for j in range(2, TAGS):
+            np.maximum(lead, scores[:, j], out=lead)
+        for j in range(2, TAGS, 2):
+            np.maximum(drop, scores[:, j] - scores[:, j - 1], out=drop)
+        lead = scores[:, 0] - lead
+        # A span of a best path has a place where "outside" leads weakly (or an end of the text), and reaches beyond its outermost such places, and
+        # over the room between two, only as far as the leads don't add up to more than the transitions and a new "begin" cost: else the path
+        # with "outside" there were better. All other places are "outside", and the path is sought between them.
+        weak = lead <= self.weak
+        weak[start[end > start]] = weak[end[end > start] - 1] = True
+        total = np.concatenate([[0], np.cumsum(np.where(weak, 0, lead - self.each), dtype=np.float64)])
+        at = np.flatnonzero(weak)
+        of = np.searchsorted(start, at, "right") - 1
+        at, of = at[at < end[of]], of[at < end[of]]
+        first = np.maximum(np.searchsorted(total, total[at] - self.head - drop[at]), start[of])
+        last = np.minimum(np.searchsorted(total, total[at + 1] + self.tail, "right") - 1, end[of])
+        n = len(cps) + 1
+        sought = np.cumsum(np.bincount(first, minlength=n) - np.bincount(last, minlength=n))[:-1] > 0
+        edge = np.flatnonzero(np.diff(sought.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        a, b = edge[::2], edge[1::2]
+        of = np.searchsorted(start, a, "right") - 1
+        opened, closed = a > start[of], b < end[of]
+        a, b = a - opened, b + closed
+        order = np.argsort(a - b, kind="stable")
+        while len(order):
+            size = max(1, 1_000_000 // int(b[order[0]] - a[order[0]]))
+            rows, order = order[:size], order[size:]
             n = (b - a)[rows]
-            L = int(n.max())
-            at = a[rows][None, :] + np.arange(L)[:, None]
-            live = np.arange(L)[:, None] < n[None, :]
-            windows = np.where(live, classes[np.minimum(at, len(cps) - 1)], 0)
-            scores = self.emissions(windows, n)
-            # where "outside" leads by more than transitions can ever give back, the best path is all outside
-            lead = np.where(live, scores[:, :, 0] - scores[:, :, 1:].max(axis=2), np.inf).min(axis=0)
-            whole = ~is_long[rows] & (lead <= self.slack)
-            if whole.any():
-                found = self.viterbi(scores[:, whole], n[whole])
-                keep = live[:, whole]
-                tags[at[:, whole][keep]] = found[keep]
-            for j in np.flatnonzero(is_long[rows]):
-                kept.setdefault(int(stretch[rows[j]]), []).append((int(a[rows[j]]), scores[: n[j], j]))
-        # one path over each whole stretch; stretches of like length are decoded together
-        ready = []
-        for s, parts in kept.items():
-            parts.sort(key=lambda x: x[0])
-            joined = np.zeros((end[s] - start[s], TAGS), np.float32)
-            for k, (at0, sc) in enumerate(parts):
-                head = OVERLAP // 2 if k else 0
-                joined[at0 - start[s] + head : at0 - start[s] + len(sc)] = sc[head:]
-            ready.append((s, joined))
-        ready = [(s, x) for s, x in ready if (x[:, 0] - x[:, 1:].max(axis=1)).min() <= self.slack]
-        ready.sort(key=lambda x: -len(x[1]))
-        while ready:
-            size = max(1, 1_000_000 // len(ready[0][1]))
-            group, ready = ready[:size], ready[size:]
-            n = np.array([len(x) for _, x in group])
-            scores = np.zeros((int(n.max()), len(group), TAGS), np.float32)
-            for j, (_, x) in enumerate(group):
-                scores[: len(x), j] = x
-            found = self.viterbi(scores, n)
-            for j, (s, x) in enumerate(group):
-                tags[start[s] : end[s]] = found[: len(x), j]
+            place = np.arange(int(n.max()))[:, None]
+            at = a[rows] + place
+            part = scores[np.minimum(at, len(cps) - 1)]
+            part[0, opened[rows], 1:] = part[(n - 1)[closed[rows]], np.flatnonzero(closed[rows]), 1:] = -1e6
+            found = self.viterbi(part, n)
+            tags[at[place < n]] = found[place < n]
         return tags
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text number, type number, start, end) of all spans, in order; positions in code points of the text."""
         cps, text_start = code_points(texts)
-        a, b, _ = stretches(cps, text_start, self.known)
-        tags = self.tag(cps, a, b)
-        return spans_of(tags, cps, text_start, self.known)
+        return spans_of(self.tag(cps, text_start[:-1], text_start[1:] - 1), cps, text_start)
 
 
-def spans_of(tags: np.ndarray, cps: np.ndarray, text_start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(tags: np.ndarray, cps: np.ndarray, text_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans of tags, moved to the ends of the words that they cut, without blanks at their ends.
 
-    An initial right before a name belongs to it, a bracket around a number doesn't, and spans of known words only drop out.
+    An initial right before a name belongs to it, and a bracket around a number doesn't.
     """
     kind = (tags.astype(np.int64) + 1) // 2  # 0: outside, else type + 1
     before = np.concatenate([[0], kind[:-1]])
@@ -275,10 +241,7 @@ def spans_of(tags: np.ndarray, cps: np.ndarray, text_start: np.ndarray, known: n
         if kinds[i] == 3 and NO_PERSON.search("".join(map(chr, cps[max(low, s - 24) : s]))):
             e = s
         begin[i], end[i] = s, e
-    ws, we, key = words(cps)
-    strange = np.concatenate([[0], np.cumsum(suspicious(cps, ws, we, key, known))])
-    inside = strange[np.searchsorted(ws, end)] - strange[np.searchsorted(we, begin, "right")]
-    real = (end - begin >= np.array([2, 6, 6, 4, 6])[kinds]) & (inside > 0)
+    real = end - begin >= np.array([2, 6, 6, 4, 6])[kinds]
     begin, end, kinds = begin[real], end[real], kinds[real]
     doc = np.searchsorted(text_start, begin, "right") - 1
     return doc, kinds, begin - text_start[doc], end - text_start[doc]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.llm import abuse, neardup, overlap, pii
-from auditloom.llm.textnp import Words
+from auditloom.llm.textnp import Words, code_points
 
 VOCABULARY = [f"w{i}" for i in range(900)]
 
@@ -147,6 +147,32 @@ def test_long_stretches_equal_short_windows():
     assert len(start) >= 40 and set(np.array(pii.TYPES)[kind]) >= {"name", "phone", "email"}
 
 
+def test_every_position_is_tagged():
+    own = pii.Tagger()
+    plain = "The wound was clean and the temperature was normal. "
+    for t, kind, span in (
+        (plain + "He lives at 14 Baker Street, London. " + plain, "address", "14 Baker Street, London"),
+        (plain + "Address: 12 Park Street", "address", "12 Park Street"),
+        ("Signed: Hope Baker", "name", "Hope Baker"),
+        (plain + "Write to " + "a" * 90 + "@example-hospital.org for details.", "email", "a" * 90 + "@example-hospital.org"),
+    ):
+        doc, k, start, end = own.spans([t])
+        assert [(pii.TYPES[i], t[s:e]) for i, s, e in zip(k, start, end)] == [(kind, span)]
+
+
+def test_path_equals_the_search_over_the_whole_text():
+    own = pii.Tagger()
+    texts = ["", "x", "Contact: Sorrel Hexworth / 07700 900384. " + "The wound was clean. " * 70 + "Home address is 12 Park Street, Vellora. " * 9, "Q7+/aZ09Lk" * 300]
+    cps, at = code_points(texts)
+    tags, scores = own.tag(cps, at[:-1], at[1:] - 1), own.scores(cps, at[:-1], at[1:] - 1)
+    for s, e in zip(at[1:-1], at[2:] - 1):
+        assert (scores[s:e] != 0).any(axis=1).all()
+        assert (own.viterbi(scores[s:e, None], np.array([e - s]))[:, 0] == tags[s:e]).all()
+    # a window's inner characters have the scores of a longer context but for what the LSTM forgets
+    whole = own.emissions(pii.char_classes()[cps[at[2] : at[3] - 1]][:, None], np.array([at[3] - 1 - at[2]]))[:, 0]
+    assert (whole.argmax(axis=1) == scores[at[2] : at[3] - 1].argmax(axis=1)).mean() > 0.99
+
+
 # ---- problem 10
 
 
