@@ -8,6 +8,7 @@ gives its spans. Weights lie in pii.npz, made by train_pii.py.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,7 +24,9 @@ TYPES = ("name", "email", "phone", "id_number", "address")
 TAGS = 1 + 2 * len(TYPES)  # 0: outside; 1 + 2 t: begin; 2 + 2 t: inside
 WEIGHTS = str(Path(__file__).with_name("pii.npz"))
 WINDOW, OVERLAP = 960, 64
-TOGETHER = 512  # windows that go through the LSTM at once
+TOGETHER = 4096  # windows that are scored at once
+COLUMNS = (512, 448, 384)  # windows that go through the LSTM side by side, whichever fills best; each is followed by the next one of its column
+STEPS = 16  # steps whose states become scores at once
 #: Placeholders that take the place of a span.
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
@@ -61,6 +64,17 @@ def squash(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
 
+def columns_of(length: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column and first place of each window, size of each column): long windows first, each under the shortest column, one place between two."""
+    column, place = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    heap = [(0, j) for j in range(min(columns, len(length)))]
+    for i in np.argsort(-length, kind="stable").tolist():
+        size, j = heap[0]
+        column[i], place[i] = j, size
+        heapq.heapreplace(heap, (size + int(length[i]) + 1, j))
+    return column, place, np.array([size for size, _ in sorted(heap, key=lambda x: x[1])], np.int64)
+
+
 class Tagger:
     def __init__(self, path: str = WEIGHTS):
         with np.load(path) as f:
@@ -69,7 +83,7 @@ class Tagger:
         # Both directions lie side by side and the gates one after the other; the gates' slope and middle are part of the weights.
         slope, middle = np.repeat(np.float32([0.25, 1]), [3 * H, H]), np.repeat(np.float32([0.5, 0]), [3 * H, H])
         into = np.stack([(p["embed"] @ p[f"wx{d}"] + p[f"b{d}"]) * slope + middle for d in (0, 1)])
-        into[1, 0, :H] = -1e6  # padding keeps the backward state at 0
+        into[:, 0, : 3 * H] = -1e6  # after padding the state is 0
         self.into = np.ascontiguousarray(into.reshape(2 * CLASSES, 4, H).swapaxes(0, 1)).reshape(-1, H)
         self.within = np.ascontiguousarray(np.stack([p["wh0"] * slope, p["wh1"] * slope]).reshape(2, H, 4, H).transpose(2, 0, 1, 3))
         self.out, self.out_bias, self.trans, self.first = p["out"], p["out_bias"], p["trans"], p["first"]
@@ -87,33 +101,42 @@ class Tagger:
         self.head = float(max(left, into_span.max()) + max(0, again[1:].max()))
 
     def emissions(self, windows: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tag scores of a batch: windows (L, B) of classes, padded with 0 at their ends, to (L, B, TAGS)."""
-        L, B = windows.shape
+        """Tag scores of a batch: columns of windows (L, B) of classes, with a 0 between two of a column and 0 at its end, to (L, B, TAGS), which the next call overwrites."""
+        places, B = windows.shape
         H = self.hidden
-        windows = windows.astype(np.intp, copy=False)
-        if self.room.size < L * 2 * B * H:
-            self.room = np.empty(L * 2 * B * H, np.float32)
-        states = self.room[: L * 2 * B * H].reshape(L, 2, B, H)
-        z, part, row = np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B), np.intp)
+        L = -(-places // (2 * STEPS)) * 2 * STEPS
+        windows = np.pad(windows.T, ((0, 0), (0, L - places))).T
+        if self.room.size < 2 * L * B * TAGS:
+            self.room = np.empty(2 * L * B * TAGS, np.float32)
+        half, scores = self.room[: 2 * L * B * TAGS].reshape(2, -1)
+        half, scores = half.reshape(L, B, TAGS), scores.reshape(B, L, TAGS)
+        states, parts, out = np.empty((2, STEPS, B, H), np.float32), np.empty((2, STEPS * B, TAGS), np.float32), self.out.reshape(2, H, TAGS)
+        z, within = np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B, H), np.float32)
         gates, (enter, keep, leave, u) = z[:3], z
         h, c, s = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32), np.empty((2, B, H), np.float32)
-        block = np.arange(4)[:, None] * 2 * CLASSES
+        into = self.into.reshape(4, 2 * CLASSES, H)
         zero, one = np.float32(0), np.float32(1)
-        for t in range(L):
-            np.add(windows[t], block, out=row[:, 0])
-            np.add(windows[L - 1 - t], block + CLASSES, out=row[:, 1])
-            np.take(self.into, row.reshape(-1), axis=0, out=z.reshape(-1, H), mode="clip")
-            np.add(z, np.matmul(h, self.within, out=part), out=z)
-            np.clip(gates, zero, one, out=gates)
-            np.divide(u, np.add(np.abs(u, out=s), one, out=s), out=s)
-            np.multiply(s, enter, out=s)
-            np.add(np.multiply(c, keep, out=c), s, out=c)
-            np.divide(c, np.add(np.abs(c, out=s), one, out=s), out=s)
-            h = np.multiply(leave, s, out=states[t])
-        scores = np.matmul(states[:, 0], self.out[:H])
-        scores += np.matmul(states[::-1, 1], self.out[H:])
-        scores += self.out_bias
-        return scores
+        for a in range(0, L, STEPS):
+            forward, backward = slice(a, a + STEPS), slice(L - a - STEPS, L - a)
+            rows = np.stack([windows[forward], windows[backward][::-1]], axis=1).astype(np.intp)
+            rows[:, 1] += CLASSES
+            for t in range(STEPS):
+                into.take(rows[t], axis=1, out=z, mode="clip")
+                np.add(z, np.matmul(h, self.within, out=within), out=z)
+                np.clip(gates, zero, one, out=gates)
+                np.divide(u, np.add(np.abs(u, out=s), one, out=s), out=s)
+                np.multiply(s, enter, out=s)
+                np.add(np.multiply(c, keep, out=c), s, out=c)
+                np.divide(c, np.add(np.abs(c, out=s), one, out=s), out=s)
+                h = np.multiply(leave, s, out=states[:, t])
+            # The states become scores while they are still in the processor's cache; each place is reached by one direction, later by the other.
+            f, r = np.matmul(states.reshape(2, STEPS * B, H), out, out=parts).reshape(2, STEPS, B, TAGS)
+            for at, part in ((forward, f), (backward, r[::-1])):
+                if a < L // 2:
+                    np.add(part, self.out_bias, out=half[at])
+                else:
+                    np.add(half[at].swapaxes(0, 1), part.swapaxes(0, 1), out=scores[:, at])
+        return scores.swapaxes(0, 1)[:places]
 
     def viterbi(self, scores: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Best tags (L, B) of scores (L, B, TAGS)."""
@@ -147,16 +170,17 @@ class Tagger:
         a = start[of] + k * step
         b = np.minimum(a + WINDOW, end[of])
         low, high = np.where(k > 0, a + OVERLAP // 2, a), np.where(k < pieces[of] - 1, b - OVERLAP // 2, b)
-        classes = np.concatenate([char_classes()[cps], np.zeros(WINDOW, np.uint8)]).astype(np.intp)
+        classes = char_classes()[cps]
         scores = np.zeros((len(cps), TAGS), np.float32)
-        order = np.argsort(b - a, kind="stable")
-        for i in range(0, len(order), TOGETHER):
-            rows = order[i : i + TOGETHER]
-            n = (b - a)[rows]
-            place = np.arange(int(n.max()))[:, None]
-            found = self.emissions(np.where(place < n, classes[a[rows] + place], 0), n)
-            for j, (at, s, e) in enumerate(zip(a[rows].tolist(), low[rows].tolist(), high[rows].tolist())):
-                scores[s:e] = found[s - at : e - at, j]
+        for i in range(0, len(of), TOGETHER):
+            group = slice(i, i + TOGETHER)
+            column, place, size = min((columns_of((b - a)[group], n) for n in COLUMNS), key=lambda x: len(x[2]) * int(x[2].max()))
+            windows = np.zeros((int(size.max()), len(size)), np.uint8, order="F")
+            for j, p, s, e in zip(column.tolist(), place.tolist(), a[group].tolist(), b[group].tolist()):
+                windows[p : p + e - s, j] = classes[s:e]
+            found = self.emissions(windows, size)
+            for j, p, at, s, e in zip(column.tolist(), place.tolist(), a[group].tolist(), low[group].tolist(), high[group].tolist()):
+                scores[s:e] = found[p + s - at : p + e - at, j]
         return scores
 
     def tag(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -164,12 +188,11 @@ class Tagger:
         tags = np.zeros(len(cps), np.int8)
         scores = self.scores(cps, start, end)
         # By how much "outside" leads, and by how much an "inside" leads its "begin".
-        lead, drop = scores[:, 1].copy(), np.zeros(len(cps), np.float32)
-        for j in range(2, TAGS):
-            np.maximum(lead, scores[:, j], out=lead)
-        for j in range(2, TAGS, 2):
-            np.maximum(drop, scores[:, j] - scores[:, j - 1], out=drop)
-        lead = scores[:, 0] - lead
+        lead, drop = np.empty(len(cps), np.float32), np.empty(len(cps), np.float32)
+        for i in range(0, len(cps), 4096):
+            part = np.ascontiguousarray(scores[i : i + 4096].T)
+            np.subtract(part[0], part[1:].max(axis=0), out=lead[i : i + 4096])
+            np.maximum((part[2::2] - part[1::2]).max(axis=0), 0, out=drop[i : i + 4096])
         # A span of a best path has a place where "outside" leads weakly (or an end of the text), and reaches beyond its outermost such places, and
         # over the room between two, only as far as the leads don't add up to more than the transitions and a new "begin" cost: else the path
         # with "outside" there were better. All other places are "outside", and the path is sought between them.
@@ -190,8 +213,10 @@ class Tagger:
         a, b = a - opened, b + closed
         order = np.argsort(a - b, kind="stable")
         while len(order):
-            size = max(1, 1_000_000 // int(b[order[0]] - a[order[0]]))
-            rows, order = order[:size], order[size:]
+            # stretches of about the same length, so that padding is a small part
+            longest = int(b[order[0]] - a[order[0]])
+            size = min(max(1, 1_000_000 // longest), int(np.searchsorted((a - b)[order], 4 - longest * 4 // 5, "right")))
+            rows, order = order[: max(1, size)], order[max(1, size) :]
             n = (b - a)[rows]
             place = np.arange(int(n.max()))[:, None]
             at = a[rows] + place
@@ -212,13 +237,14 @@ def spans_of(tags: np.ndarray, cps: np.ndarray, text_start: np.ndarray) -> tuple
 
     An initial right before a name belongs to it, and a bracket around a number doesn't.
     """
-    kind = (tags.astype(np.int64) + 1) // 2  # 0: outside, else type + 1
-    before = np.concatenate([[0], kind[:-1]])
-    begins = (kind > 0) & ((tags % 2 == 1) | (kind != before))
-    ends = np.concatenate([((kind > 0) & ((np.concatenate([kind[1:], [0]]) != kind) | np.concatenate([begins[1:], [True]])))])
+    kind = (tags + np.int8(1)) >> 1  # 0: outside, else type + 1
+    change = np.diff(kind, prepend=np.int8(0), append=np.int8(0)) != 0
+    begins = (kind > 0) & ((tags & 1 == 1) | change[:-1])
+    ends = (kind > 0) & (change[1:] | np.append(begins[1:], True))
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    kinds = kind[start] - 1
-    letter = np.isin(category_table()[cps], [ord("L"), ord("N")])
+    kinds = kind[start].astype(np.int64) - 1
+    category = category_table()[cps]
+    letter = (category == ord("L")) | (category == ord("N"))
     begin = start.copy()
     for i in range(len(start)):
         s, e = int(start[i]), int(end[i])

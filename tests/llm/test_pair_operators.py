@@ -173,6 +173,31 @@ def test_path_equals_the_search_over_the_whole_text():
     assert (whole.argmax(axis=1) == scores[at[2] : at[3] - 1].argmax(axis=1)).mean() > 0.99
 
 
+def test_windows_side_by_side_equal_windows_alone():
+    own = pii.Tagger()
+    texts = ["Seen by Dr Sorrel Hexworth. " * k + "x" * (k % 7) for k in range(0, 90, 3)] + ["", "a"]
+    cps, at = code_points(texts)
+    scores = own.scores(cps, at[:-1], at[1:] - 1)
+    for s, e in zip(at[:-1], at[1:] - 1):
+        alone = own.scores(cps[s : e + 1], np.array([0]), np.array([e - s]))
+        assert np.allclose(alone[: e - s], scores[s:e], atol=1e-3)
+
+
+def test_columns_and_searches_have_little_padding():
+    length = np.array([960] * 1500 + list(range(1, 960)) * 2)
+    column, place, size = pii.columns_of(length, 448)
+    assert len(size) * size.max() < 1.03 * length.sum() and (np.bincount(column, weights=length + 1) == size).all()
+    for j in (0, 447):
+        own = np.argsort(place[column == j])
+        assert (np.diff(place[column == j][own]) == length[column == j][own][:-1] + 1).all()
+    tagger, searched = pii.Tagger(), []
+    viterbi = tagger.viterbi
+    tagger.viterbi = lambda scores, n: searched.append((scores.shape[0] * scores.shape[1], int(n.sum()))) or viterbi(scores, n)
+    tagger.spans(["Seen by Dr Sorrel Hexworth. The wound was clean and dry. " * 9] * 40 + ["Q7+/aZ09Lk" * 90] * 5)
+    padded, real = np.sum(searched, axis=0)
+    assert padded <= 1.6 * real
+
+
 # ---- problem 10
 
 
