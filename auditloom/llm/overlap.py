@@ -12,6 +12,7 @@ bits are compared exactly. Equal texts and equal pictures are one class througho
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,6 +34,7 @@ ROWS = 200_000  # training texts that an automaton scans in one task
 ODD = 512  # bits of an odd sketch
 SIGMAS = 5.0  # a similar pair is lost to chance in 1 of 3 million
 GAP = 0x10FFFF  # the symbol between stretches
+SIZES = 1 << 32  # above every size of a text
 GROUPS, BITS = 48, 64
 SAME_PICTURE = 10.0
 #: Training pictures in one block of a hot group of bits.
@@ -60,6 +62,14 @@ def _texts(column: pa.Array, answers: bool) -> list[str]:
     return [split_pair(t)[1] or "" for t in texts] if answers else texts
 
 
+def distinct_runs(runs: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of each of n texts, and their texts, in order. As many low bits of a run's hash as n has are lost: 43 or more are left."""
+    bits = U64(max(1, n.bit_length()))
+    both = np.sort(doc.astype(U64) << (U64(64) - bits) | runs >> bits)
+    both = both[np.concatenate([both[:1] == both[:1], both[1:] != both[:-1]])]
+    return both << bits, (both >> (U64(64) - bits)).astype(np.int64)
+
+
 def odd_sketches(runs: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """n x ODD bits as bytes: the parity of the distinct runs of each text that hash to a bit; runs: distinct within each text."""
     counts = np.bincount(doc * ODD + (runs >> U64(32)).astype(np.int64) % ODD, minlength=n * ODD)
@@ -91,11 +101,8 @@ def read_texts(own: DataFrame, least: int, answers: bool) -> DataFrame:
                 place[rows[first]] = np.arange(int(first.sum()))
                 runs, doc = w.runs(K)
                 runs, doc = runs[place[doc] >= 0], place[doc][place[doc] >= 0]
-                order = np.lexsort((runs, doc))
-                runs, doc = runs[order], doc[order]
-                fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])]) if len(runs) else np.zeros(0, bool)
-                runs, doc = runs[fresh], doc[fresh]
                 n = int(first.sum())
+                runs, doc = distinct_runs(runs, doc, n)
                 symbols = (w.key >> U64(43)).astype(np.uint32) % np.uint32(GAP - 0x10000) + np.uint32(0x10000)
                 mine = place[w.doc] >= 0
                 count = np.diff(w.first)[rows]
@@ -266,34 +273,40 @@ def scan(chosen: DataFrame, training: DataFrame, parts: int, threshold: float =
     def run(own: pa.Table, texts: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if own.num_rows and texts.num_rows:
-            automaton, ids, of = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, []
-            for i, row in enumerate(own.column("passages").to_pylist()):
-                for at in range(0, len(row), PASSAGE):
-                    of.append((ids.setdefault(row[at : at + PASSAGE], len(ids)), i))
+            automaton, ids = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
+            rows = own.column("passages").to_pylist()
+            number = np.array([ids.setdefault(row[at : at + PASSAGE], len(ids)) for row in rows for at in range(0, len(row), PASSAGE)], np.int64)
             for passage, k in ids.items():
                 automaton.add_word(passage, k)
             automaton.make_automaton()
-            number, owner = np.unique(np.array(of, np.int64), axis=0).T
-            first = np.searchsorted(number, np.arange(len(ids) + 1))
             eh, es, eo = _columns(own)
             th, ts, to = _columns(texts)
+            # The owners of a passage by their size: those whose size is near enough to a text's lie side by side.
+            number, owner = np.divmod(np.unique(number * len(rows) + np.repeat(np.arange(len(rows)), [len(row) // PASSAGE for row in rows])), len(rows))
+            order = np.lexsort((es[owner], number))
+            number, owner = number[order], owner[order]
+            sizes = number * SIZES + es[owner]
             scanned = texts.column("passages").to_pylist()
             for a in range(0, len(scanned), 1000):  # what a few texts hit, then its pairs a million at a time
-                hits = [(i, k) for i in range(a, min(a + 1000, len(scanned))) for k in {k for _, k in automaton.iter(scanned[i])}]
-                text, passage = np.array(hits, np.int64).reshape(-1, 2).T
-                n = first[passage + 1] - first[passage]
+                hits = [{k for _, k in automaton.iter(x)} for x in scanned[a : a + 1000]]
+                text = np.repeat(np.arange(a, a + len(hits)), [len(x) for x in hits])
+                passage = np.fromiter(itertools.chain.from_iterable(hits), np.int64, len(text))
+                first = np.searchsorted(sizes, passage * SIZES + np.maximum(np.floor(threshold * ts[text]).astype(np.int64) - 1, 0))
+                n = np.searchsorted(sizes, passage * SIZES + np.minimum(np.ceil(ts[text] / threshold).astype(np.int64) + 1, SIZES - 1), "right") - first
+                text, first, n = text[n > 0], first[n > 0], n[n > 0]
                 total = np.cumsum(n)
                 for low in range(0, int(total[-1]) if len(total) else 0, 1_000_000):
                     high = min(low + 1_000_000, int(total[-1]))
                     x = slice(int(np.searchsorted(total, low, "right")), int(np.searchsorted(total, high, "left")) + 1)
                     skipped = np.maximum(low - (total[x] - n[x]), 0)
                     m = np.minimum(high, total[x]) - (total[x] - n[x]) - skipped
-                    places = np.repeat(first[passage[x]] + skipped - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    e, t = np.divmod(np.unique(owner[places] * len(scanned) + np.repeat(text[x], m)), len(scanned))
+                    places = np.repeat(first[x] + skipped - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    e, t = owner[places], np.repeat(text[x], m)  # a pair may come once for each passage that it shares
                     keep = np.minimum(es[e], ts[t]) >= threshold * np.maximum(es[e], ts[t]) - 1e-9
                     e, t = e[keep], t[keep]
                     keep = np.bitwise_count(eo[e] ^ to[t]).sum(axis=1) <= odd_limit(es[e] + ts[t], threshold)
-                    found.append((eh[e[keep]], th[t[keep]]))
+                    e, t = np.divmod(np.unique(e[keep] * len(scanned) + t[keep]), len(scanned))
+                    found.append((eh[e], th[t]))
         e, t = (np.concatenate(x) for x in zip(*found))
         pairs = np.unique(np.stack([e, t], axis=1), axis=0)
         return pa.table({"e": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1])})

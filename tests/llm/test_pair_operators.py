@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.llm import abuse, neardup, overlap, pii
-from auditloom.llm.textnp import Words, code_points
+from auditloom.llm.textnp import Words, code_points, word_table
 
 VOCABULARY = [f"w{i}" for i in range(900)]
 
@@ -105,6 +105,17 @@ def test_text_overlaps_against_all_pairs(spark):
     assert overlap.text_overlaps(d.limit(0), "id", "text", "split", "loaded_at", 30).count() == 0
 
 
+def test_distinct_runs_and_word_table():
+    rng = np.random.default_rng(3)
+    runs, doc = rng.integers(0, 2**64, 500, dtype=np.uint64)[rng.integers(0, 500, 20000)], np.sort(rng.integers(0, 300, 20000))
+    got, of = overlap.distinct_runs(runs, doc, 300)
+    want = sorted({(int(d), int(r)) for d, r in zip(doc, runs)})
+    assert [(d, r >> 32) for d, r in want] == list(zip(of.tolist(), (got >> np.uint64(32)).tolist()))
+    assert (overlap.odd_sketches(got, of, 300) == overlap.odd_sketches(np.array([r for _, r in want], np.uint64), of, 300)).all()
+    assert all(len(x) == 0 for x in overlap.distinct_runs(runs[:0], doc[:0], 0))
+    assert all(bool(inside) == chr(c).isalnum() for c, inside in enumerate(word_table()))
+
+
 def bmp(x):
     rows = b"".join(bytes(x[y, :, ::-1].reshape(-1)) for y in range(len(x) - 1, -1, -1))
     return b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, x.shape[1], len(x), 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
