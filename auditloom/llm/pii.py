@@ -25,8 +25,8 @@ TAGS = 1 + 2 * len(TYPES)  # 0: outside; 1 + 2 t: begin; 2 + 2 t: inside
 WEIGHTS = str(Path(__file__).with_name("pii.npz"))
 WINDOW, OVERLAP = 960, 64
 TOGETHER = 4096  # windows that are scored at once
-COLUMNS = (512, 448, 384)  # windows that go through the LSTM side by side, whichever fills best; each is followed by the next one of its column
-STEPS = 16  # steps whose states become scores at once
+COLUMNS = (224, 208, 192)  # windows that go through the LSTM side by side, whichever fills best (more make products that OpenBLAS copies first); each is followed by the next one of its column
+STEPS = 16  # steps whose scores are put away at once
 #: Placeholders that take the place of a span.
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
@@ -75,18 +75,29 @@ def columns_of(length: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray
     return column, place, np.array([size for size, _ in sorted(heap, key=lambda x: x[1])], np.int64)
 
 
+def aligned(*shape: int) -> np.ndarray:
+    """An array whose memory begins at a whole cache line, without which sums and products take up to twice the time."""
+    n = int(np.prod(shape))
+    room = np.zeros(n + 16, np.float32)
+    at = -room.ctypes.data % 64 // 4
+    return room[at : at + n].reshape(shape)
+
+
 class Tagger:
     def __init__(self, path: str = WEIGHTS):
         with np.load(path) as f:
             p = {k: f[k].astype(np.float32) for k in f.files}
         H = self.hidden = p["wh0"].shape[0]
-        # Both directions lie side by side and the gates one after the other; the gates' slope and middle are part of the weights.
+        # What a step reads of each column: the state, a 1, then what a class enters: 1 if it is padding, and its embedding.
+        self.enter = np.vstack([np.arange(CLASSES) == 0, p["embed"].T]).astype(np.float32)
+        # The gates lie one after the other; their slope and middle are part of the weights.
         slope, middle = np.repeat(np.float32([0.25, 1]), [3 * H, H]), np.repeat(np.float32([0.5, 0]), [3 * H, H])
-        into = np.stack([(p["embed"] @ p[f"wx{d}"] + p[f"b{d}"]) * slope + middle for d in (0, 1)])
-        into[:, 0, : 3 * H] = -1e6  # after padding the state is 0
-        self.into = np.ascontiguousarray(into.reshape(2 * CLASSES, 4, H).swapaxes(0, 1)).reshape(-1, H)
-        self.within = np.ascontiguousarray(np.stack([p["wh0"] * slope, p["wh1"] * slope]).reshape(2, H, 4, H).transpose(2, 0, 1, 3))
-        self.out, self.out_bias, self.trans, self.first = p["out"], p["out_bias"], p["trans"], p["first"]
+        closed = np.repeat(np.float32([-1e6, 0]), [3 * H, H])  # after padding the state is 0
+        self.step = aligned(2, 4 * H, H + 1 + len(self.enter))
+        for d in (0, 1):
+            self.step[d] = np.vstack([p[f"wh{d}"] * slope, p[f"b{d}"] * slope + middle, closed, p[f"wx{d}"] * slope]).T
+        self.out = np.ascontiguousarray(np.concatenate([p["out"].reshape(2, H, TAGS), np.stack([p["out_bias"], 0 * p["out_bias"]])[:, None]], axis=1).swapaxes(1, 2))
+        self.trans, self.first = p["trans"], p["first"]
         self.room = np.empty(0, np.float32)
         # What the transitions of a path can lose at most when tags of a span become "outside" (see tag).
         trans, inside = self.trans, np.arange(2, TAGS, 2)
@@ -105,38 +116,41 @@ class Tagger:
         places, B = windows.shape
         H = self.hidden
         L = -(-places // (2 * STEPS)) * 2 * STEPS
-        windows = np.pad(windows.T, ((0, 0), (0, L - places))).T
+        classes = np.zeros((L, B), np.uint8)
+        classes[:places] = windows
         if self.room.size < 2 * L * B * TAGS:
             self.room = np.empty(2 * L * B * TAGS, np.float32)
         half, scores = self.room[: 2 * L * B * TAGS].reshape(2, -1)
-        half, scores = half.reshape(L, B, TAGS), scores.reshape(B, L, TAGS)
-        states, parts, out = np.empty((2, STEPS, B, H), np.float32), np.empty((2, STEPS * B, TAGS), np.float32), self.out.reshape(2, H, TAGS)
-        z, within = np.empty((4, 2, B, H), np.float32), np.empty((4, 2, B, H), np.float32)
-        gates, (enter, keep, leave, u) = z[:3], z
-        h, c, s = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32), np.empty((2, B, H), np.float32)
-        into = self.into.reshape(4, 2 * CLASSES, H)
-        zero, one = np.float32(0), np.float32(1)
+        half, scores = half.reshape(L, TAGS, B), scores.reshape(B, L * TAGS)
+        # Numbers of a kind lie in one piece, (kind, direction, column), so that each operation is a single pass.
+        x, z = aligned(self.step.shape[2], 2, B), aligned(4, H, 2, B)
+        h, feed, read, gates, (enter, keep, leave, u) = x[:H], x[H + 1 :], x[: H + 1].swapaxes(0, 1), z[:3], z
+        c, s, one = aligned(H, 2, B), aligned(H, 2, B), np.array(1, np.float32)
+        low, high = aligned(3, H, 2, B), aligned(3, H, 2, B)  # arrays, as maximum and minimum are slow with a number
+        x[H] = high[:] = one
+        parts, whole = aligned(2, STEPS, TAGS, B), aligned(STEPS, TAGS, B)
+        given, made = x.swapaxes(0, 1), z.reshape(4 * H, 2, B).swapaxes(0, 1)
         for a in range(0, L, STEPS):
             forward, backward = slice(a, a + STEPS), slice(L - a - STEPS, L - a)
-            rows = np.stack([windows[forward], windows[backward][::-1]], axis=1).astype(np.intp)
-            rows[:, 1] += CLASSES
+            rows = np.stack([classes[forward], classes[backward][::-1]], axis=1, dtype=np.intp)
             for t in range(STEPS):
-                into.take(rows[t], axis=1, out=z, mode="clip")
-                np.add(z, np.matmul(h, self.within, out=within), out=z)
-                np.clip(gates, zero, one, out=gates)
+                self.enter.take(rows[t], axis=1, out=feed, mode="wrap")
+                np.matmul(self.step, given, out=made)
+                np.maximum(np.minimum(gates, high, out=gates), low, out=gates)
                 np.divide(u, np.add(np.abs(u, out=s), one, out=s), out=s)
                 np.multiply(s, enter, out=s)
                 np.add(np.multiply(c, keep, out=c), s, out=c)
                 np.divide(c, np.add(np.abs(c, out=s), one, out=s), out=s)
-                h = np.multiply(leave, s, out=states[:, t])
-            # The states become scores while they are still in the processor's cache; each place is reached by one direction, later by the other.
-            f, r = np.matmul(states.reshape(2, STEPS * B, H), out, out=parts).reshape(2, STEPS, B, TAGS)
-            for at, part in ((forward, f), (backward, r[::-1])):
+                np.multiply(leave, s, out=h)
+                np.matmul(self.out, read, out=parts[:, t])
+            # Each place is reached by one direction, later by the other.
+            for at, part in ((forward, parts[0]), (backward, parts[1, ::-1])):
                 if a < L // 2:
-                    np.add(part, self.out_bias, out=half[at])
+                    half[at] = part
                 else:
-                    np.add(half[at].swapaxes(0, 1), part.swapaxes(0, 1), out=scores[:, at])
-        return scores.swapaxes(0, 1)[:places]
+                    np.add(half[at], part, out=whole)
+                    scores[:, at.start * TAGS : at.stop * TAGS] = whole.reshape(-1, B).T
+        return scores.reshape(B, L, TAGS).swapaxes(0, 1)[:places]
 
     def viterbi(self, scores: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Best tags (L, B) of scores (L, B, TAGS)."""

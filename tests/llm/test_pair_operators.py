@@ -209,6 +209,37 @@ def test_columns_and_searches_have_little_padding():
     assert padded <= 1.6 * real
 
 
+def test_steps_equal_a_plain_lstm():
+    with np.load(pii.WEIGHTS) as f:
+        p = {k: f[k].astype(np.float64) for k in f.files}
+
+    def states(classes, d):
+        h = c = np.zeros(24)
+        for k in classes:
+            z = p["embed"][k] @ p[f"wx{d}"] + p[f"b{d}"] + h @ p[f"wh{d}"]
+            enter, keep, leave = pii.gate(z[:72]).reshape(3, 24)
+            c = c * keep + pii.squash(z[72:]) * enter
+            h = leave * pii.squash(c)
+            yield h
+
+    texts = ["Seen by Dr Sorrel Hexworth on Monday. ", "12 Park Street", "x"]
+    a, b, c = (pii.char_classes()[code_points([t])[0][:-1]] for t in texts)
+    windows = np.zeros((len(a) + len(b) + 1, 2), np.uint8)
+    windows[:, 0] = np.concatenate([a, [0], b])
+    windows[: len(c), 1] = c
+    found = pii.Tagger().emissions(windows, np.array([len(windows), 1]))
+    for part, at, column in ((a, 0, 0), (b, len(a) + 1, 0), (c, 0, 1)):
+        both = np.hstack([list(states(part, 0)), list(states(part[::-1], 1))[::-1]])
+        assert np.allclose(found[at : at + len(part), column], both @ p["out"] + p["out_bias"], atol=1e-3)
+
+
+def test_steps_use_whole_cache_lines_and_small_products():
+    own = pii.Tagger()
+    assert all(pii.aligned(3, 24, 2, n).ctypes.data % 64 == 0 for n in (1, 7, 192, 224))
+    # OpenBLAS copies the factors of a product of more than a million multiplications before it begins
+    assert max(pii.COLUMNS) * own.step.shape[1] * own.step.shape[2] <= 1_000_000 and all(n % 16 == 0 for n in pii.COLUMNS)
+
+
 # ---- problem 10
 
 
