@@ -25,7 +25,7 @@ TAGS = 1 + 2 * len(TYPES)  # 0: outside; 1 + 2 t: begin; 2 + 2 t: inside
 WEIGHTS = str(Path(__file__).with_name("pii.npz"))
 WINDOW, OVERLAP = 960, 64
 TOGETHER = 4096  # windows that are scored at once
-COLUMNS = (224, 208, 192)  # windows that go through the LSTM side by side, whichever fills best (more make products that OpenBLAS copies first); each is followed by the next one of its column
+COLUMNS = 224  # windows that go through the LSTM side by side, each followed by the next one of its column; more make products whose factors OpenBLAS copies first
 STEPS = 16  # steps whose scores are put away at once
 #: Placeholders that take the place of a span.
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
@@ -188,7 +188,7 @@ class Tagger:
         scores = np.zeros((len(cps), TAGS), np.float32)
         for i in range(0, len(of), TOGETHER):
             group = slice(i, i + TOGETHER)
-            column, place, size = min((columns_of((b - a)[group], n) for n in COLUMNS), key=lambda x: len(x[2]) * int(x[2].max()))
+            column, place, size = columns_of((b - a)[group], COLUMNS)
             windows = np.zeros((int(size.max()), len(size)), np.uint8, order="F")
             for j, p, s, e in zip(column.tolist(), place.tolist(), a[group].tolist(), b[group].tolist()):
                 windows[p : p + e - s, j] = classes[s:e]
@@ -212,16 +212,18 @@ class Tagger:
         # with "outside" there were better. All other places are "outside", and the path is sought between them.
         weak = lead <= self.weak
         weak[start[end > start]] = weak[end[end > start] - 1] = True
-        total = np.concatenate([[0], np.cumsum(np.where(weak, 0, lead - self.each), dtype=np.float64)])
+        lead -= self.each
+        lead[weak] = 0
+        total = np.zeros(len(cps) + 1)
+        np.cumsum(lead, dtype=np.float64, out=total[1:])
         at = np.flatnonzero(weak)
         of = np.searchsorted(start, at, "right") - 1
         at, of = at[at < end[of]], of[at < end[of]]
         first = np.maximum(np.searchsorted(total, total[at] - self.head - drop[at]), start[of])
         last = np.minimum(np.searchsorted(total, total[at + 1] + self.tail, "right") - 1, end[of])
-        n = len(cps) + 1
-        sought = np.cumsum(np.bincount(first, minlength=n) - np.bincount(last, minlength=n))[:-1] > 0
-        edge = np.flatnonzero(np.diff(sought.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        a, b = edge[::2], edge[1::2]
+        first, last = np.minimum.accumulate(first[::-1])[::-1], np.maximum.accumulate(last)
+        apart = first[1:] > last[:-1]
+        a, b = first[np.append(True, apart)[: len(first)]], last[np.append(apart, True)[: len(last)]]
         of = np.searchsorted(start, a, "right") - 1
         opened, closed = a > start[of], b < end[of]
         a, b = a - opened, b + closed
@@ -234,7 +236,7 @@ class Tagger:
             n = (b - a)[rows]
             place = np.arange(int(n.max()))[:, None]
             at = a[rows] + place
-            part = scores[np.minimum(at, len(cps) - 1)]
+            part = scores.take(at, axis=0, mode="clip")
             part[0, opened[rows], 1:] = part[(n - 1)[closed[rows]], np.flatnonzero(closed[rows]), 1:] = -1e6
             found = self.viterbi(part, n)
             tags[at[place < n]] = found[place < n]
