@@ -14,7 +14,7 @@ from auditloom.functions import embedding as E
 from auditloom.functions import similarity as G
 from auditloom.functions import text as P
 from auditloom.operators import evaluate, features, models, scoring, sinks, tokenstats, variants
-from auditloom.sources.images import bicubic, decode, decode_or_blank
+from auditloom.sources.images import decode, model_input
 from auditloom.sources.tables import latest_delivery, read_table, spread
 from auditloom.streaming.scores import windowed_losses
 
@@ -782,8 +782,8 @@ def image_model_input(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(stream):
         for b in stream:
-            shown = [bicubic(decode_or_blank(x)) for x in b["b"]]
-            yield pd.DataFrame({"id": b["id"], "side": [x.shape[0] for x in shown], "mean": [round(float(x.mean()), 6) for x in shown], "spread": [round(float(x.std()), 6) for x in shown]})
+            shown = [model_input(x) for x in b["b"]]  # resampled pictures of a batch would be 4 GB
+            yield pd.DataFrame({"id": b["id"], "side": [side for side, _, _ in shown], "mean": [round(mean, 6) for _, mean, _ in shown], "spread": [round(spread, 6) for _, _, spread in shown]})
 
     return latest_pictures(spark, folder).mapInPandas(run, "id string, side int, mean double, spread double").distinct()
 
