@@ -2,7 +2,9 @@
 
 import os
 import random
+import struct
 import tracemalloc
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -103,3 +105,9 @@ def test_resampled_by_strips(shape):
 def test_a_large_picture_is_not_turned_into_numbers_whole():
     x = np.random.default_rng(5).integers(0, 256, (2000, 3000, 3)).astype(np.uint8)
     assert most_mb(lambda: images.bicubic(x))[1] < 100
+    raw = np.zeros((2000, 9001), np.uint8)
+    raw[:, 0], raw[1:, 1:], raw[0, 1:] = 2, np.diff(x.reshape(2000, -1), axis=0), x[0].reshape(-1)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", 3000, 2000, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(raw.tobytes(), 1)), (b"IEND", b"")]
+    data = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + bytes(4) for k, d in parts)
+    pixels, mb = most_mb(lambda: images.decode(data))
+    assert (pixels == x).all() and mb < 120
